@@ -70,13 +70,11 @@ def tidy(text: Column) -> Column:
 def parse_zone(text: Column) -> Column:
     """STRUCT<off INT minutes east, name STRING>: an offset wins over a name; both null if the text names no zone."""
     z = F.trim(text)
-    sign = F.regexp_extract(z, _OFFSET, 1)
-    hours, minutes = (F.regexp_extract(z, _OFFSET, k) for k in (2, 3))
-    off = F.when(
-        sign != "",
-        F.when(sign == "-", -1).otherwise(1) * (hours.try_cast("int") * 60 + F.coalesce(F.nullif(minutes, F.lit("")).try_cast("int"), F.lit(0))),
-    ).otherwise(_lookup(ABBREVIATIONS, F.upper(z)))
-    off = F.when(F.abs(off).between(0, 18 * 60) & (F.coalesce(F.nullif(minutes, F.lit("")).try_cast("int"), F.lit(0)) < 60), off)
+    # sign|hours|minutes by one pass over what looks like an offset
+    cut = F.when(z.rlike(_OFFSET), F.split(F.regexp_replace(z, _OFFSET, "$1|$2|$3"), r"\|", 3))
+    minutes = F.coalesce(F.get(cut, F.lit(2)).try_cast("int"), F.lit(0))
+    total = F.when(F.get(cut, F.lit(0)) == "-", -1).otherwise(1) * (F.get(cut, F.lit(1)).try_cast("int") * 60 + minutes)
+    off = F.when(cut.isNotNull(), F.when((F.abs(total) <= 18 * 60) & (minutes < 60), total)).otherwise(_lookup(ABBREVIATIONS, F.upper(z)))
     name = F.regexp_replace(z, r"^\[(.*)\]$", "$1")
     return F.struct(off.cast("int").alias("off"), F.when(off.isNull() & name.isin(*zone_names()), name).alias("name"))
 

@@ -48,7 +48,6 @@ def sidecar_values(docs: DataFrame) -> DataFrame:
     )
     return (
         docs.select("sidecar_id", "ref", _json_object(F.col("raw")).alias("_doc"))
-        .where("_doc is not null")
         .select(
             F.lit("sidecar_docs").alias("origin"),
             F.col("sidecar_id").alias("rec_id"),
@@ -71,31 +70,32 @@ def exif_values(exif: DataFrame) -> DataFrame:
     )
 
 
-def _resolve(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds out: STRUCT<epoch, local, source> of one time text under the zones `_own` and `_hint`."""
-    parts, zone = f"_{out}p", f"_{out}z"
-    df = df.withColumn(parts, I.split_time(I.tidy(F.col(text)), short_counts=F.col("origin") == "sidecar_docs"))
-    written = F.get(F.col(parts), F.lit(8))
-    df = df.withColumn(zone, I.parse_zone(written)).withColumn(f"{zone}l", F.when(F.size(parts) > 1, I.local_us(F.col(parts))))
-    has_own, has_written = (F.col(f"{z}.off").isNotNull() | F.col(f"{z}.name").isNotNull() for z in ("_own", zone))
-    has_hint = F.col("_hint.off").isNotNull() | F.col("_hint.name").isNotNull()
-    chosen = (
-        F.when(has_written, F.struct(F.lit("value").alias("source"), f"{zone}.off", f"{zone}.name"))
-        .when(written != "", F.struct(F.lit("unreadable").alias("source"), F.lit(None).cast("int").alias("off"), F.lit(None).cast("string").alias("name")))
-        .when(has_own, F.struct(F.lit("own").alias("source"), "_own.off", "_own.name"))
-        .when(has_hint, F.struct(F.lit("record").alias("source"), "_hint.off", "_hint.name"))
-    )
-    df = df.withColumn(f"{zone}c", chosen)
-    count = F.when(F.size(parts) == 1, I.count_us(F.col(parts)[0]))
-    epoch = F.coalesce(count, I.to_utc_us(F.col(f"{zone}l"), F.col(f"{zone}c.off"), F.col(f"{zone}c.name")))
-    return df.withColumn(
-        out,
-        F.struct(
-            epoch.alias("epoch"),
-            F.col(f"{zone}l").alias("local"),
-            F.when(count.isNotNull(), F.lit("count")).otherwise(F.col(f"{zone}c.source")).alias("source"),
-        ),
-    ).drop(parts, zone, f"{zone}l", f"{zone}c")
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once. Being a lambda it also stays out of whole-stage code, whose one large method for
+    all the notations would exceed what the JVM compiles."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def resolve(text: Column, own: Column, hint: Column, short_counts: Column) -> Column:
+    """STRUCT<epoch, local, source> of one time text; own and hint are texts of zones, in this order of precedence."""
+    none = F.struct(F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("off"), F.lit(None).cast("string").alias("name"))
+    zone = lambda z, source: F.struct(F.lit(source).alias("source"), z["off"].alias("off"), z["name"].alias("name"))
+    has = lambda z: z["off"].isNotNull() | z["name"].isNotNull()
+    out = lambda epoch, local, source: F.struct(epoch.alias("epoch"), local.alias("local"), source.alias("source"))
+
+    def outer(parts: Column) -> Column:
+        fallback = _let(I.parse_zone(own), lambda o: F.when(has(o), zone(o, "own")).otherwise(_let(I.parse_zone(hint), lambda h: F.when(has(h), zone(h, "record")).otherwise(none))))
+        inside = lambda w: F.when(w == "", fallback).otherwise(
+            _let(I.parse_zone(w), lambda z: F.when(has(z), zone(z, "value")).otherwise(F.struct(F.lit("unreadable").alias("source"), none["off"].alias("off"), none["name"].alias("name"))))
+        )
+        reading = _let(
+            I.local_us(parts),
+            lambda local: F.when(local.isNotNull(), _let(inside(parts[8]), lambda z: out(I.to_utc_us(local, z["off"], z["name"]), local, z["source"]))),
+        )
+        count = out(I.count_us(F.get(parts, F.lit(0))), F.lit(None).cast("bigint"), F.lit("count"))
+        return F.when(F.size(parts) == 1, count).when(F.size(parts) > 1, reading)
+
+    return _let(I.tidy(text), lambda t: _let(I.split_time(t, short_counts), outer))
 
 
 def stated_instants(values: DataFrame) -> DataFrame:
@@ -104,11 +104,15 @@ def stated_instants(values: DataFrame) -> DataFrame:
     epoch_us is null too where the value states a local time and nothing names a zone (zone_source null), where the local time was
     skipped, or where what follows the time is unreadable.
     """
-    df = values.withColumn("_own", I.parse_zone(I.tidy(F.col("own")))).withColumn("_hint", I.parse_zone(I.tidy(F.col("hint"))))
-    df = _resolve(_resolve(df, "raw", "_a"), "spare", "_b")
-    best = F.when(F.col("_a.epoch").isNotNull(), F.col("_a")).when(F.col("_b.epoch").isNotNull(), F.col("_b")).when(F.col("_a.local").isNotNull(), F.col("_a")).otherwise(F.col("_b"))
+    read = lambda text: resolve(F.col(text), F.col("own"), F.col("hint"), F.col("origin") == "sidecar_docs")
+    best = _let(
+        read("raw"),
+        lambda a: F.when(a["epoch"].isNotNull() | F.col("spare").isNull(), a).otherwise(
+            _let(read("spare"), lambda b: F.when(b["epoch"].isNotNull() | F.coalesce(a["local"], a["epoch"]).isNull(), b).otherwise(a))
+        ),
+    )
     return (
-        df.withColumn("_v", best)
+        values.withColumn("_v", best)
         .select("origin", "rec_id", "field", "place", F.col("_v.local").alias("local_us"), F.col("_v.epoch").alias("epoch_us"), F.col("_v.source").alias("zone_source"))
     )
 
