@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixloom.llm.components import connected_groups
+from pixloom.llm.entities import match_orphans
 from pixloom.llm.tokens import encode_corpus, read_rank_file
 
 
@@ -13,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orphan sidecars of every content without sidecar, with rule and confidence."""
+    return match_orphans(*[table(spark, sf_dir, t) for t in ("copies", "orphans", "sidecar_docs", "exif")])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches alone."""
+    return p1_matches(spark, sf_dir).select(F.col("hash").alias("sha256"), "orphan_ord")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each linked picture with the smallest number it is linked to."""
     return connected_groups(table(spark, sf_dir, "near_pairs")).select(F.col("node").alias("scan_ord"), "group_id")
@@ -23,7 +34,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), read_rank_file())
 
 
-QUERIES = {"p5_found": p5_found, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p5_found": p5_found, "p6_ids": p6_ids}
 
 SQL = {
     "p5_found": """
