@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pixloom.llm.components import connected_groups
 from pixloom.llm.entities import match_orphans
+from pixloom.llm.survivors import best_records, undisputed
 from pixloom.llm.tokens import encode_corpus, read_rank_file
 
 
@@ -24,6 +25,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_matches(spark, sf_dir).select(F.col("hash").alias("sha256"), "orphan_ord")
 
 
+def p3_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving record of every group of look-alikes, field by field."""
+    return best_records(*[table(spark, sf_dir, t) for t in ("dup_groups", "copies", "sidecar_docs")])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The survivors that are best in all five respects, alone."""
+    return undisputed(p3_survivors(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each linked picture with the smallest number it is linked to."""
     return connected_groups(table(spark, sf_dir, "near_pairs")).select(F.col("node").alias("scan_ord"), "group_id")
@@ -34,7 +45,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), read_rank_file())
 
 
-QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p5_found": p5_found, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_survivors": p3_survivors, "p5_found": p5_found, "p6_ids": p6_ids}
 
 SQL = {
     "p5_found": """
