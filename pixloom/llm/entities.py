@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixloom.functions.records import clean_hash, record_id, ref_id
@@ -96,10 +96,15 @@ def _contradicts() -> Column:
 
 
 @dataclass(frozen=True)
-class Rule:
-    name: str
+class Pass:
+    """One exact join and what may hold of its pairs, strongest first; a record takes the strongest that any of its pairs has."""
+
     keys: tuple[str, ...]
-    holds: Any  # () -> Column over the joined row
+    rules: tuple[tuple[str, Any], ...]  # (name, () -> Column over the joined row)
+
+
+def _alike() -> Column:
+    return F.col("edit") == F.col("o_edit")
 
 
 def _plain_of_edit() -> Column:
@@ -110,28 +115,46 @@ def _one_starts_other(a: str, b: str, least: int) -> Column:
     return (F.least(F.length(a), F.length(b)) >= least) & (F.startswith(F.col(a), F.col(b)) | F.startswith(F.col(b), F.col(a)))
 
 
-RULES = (
-    Rule("name, folder and time", ("lib", "folder", "core", "cnt", "edit"), _same_time),
-    Rule("name and time", ("lib", "core", "cnt", "edit"), _same_time),
-    Rule("name and folder", ("lib", "folder", "core", "cnt", "edit"), lambda: ~_contradicts()),
-    Rule("name, folder and time, library unknown", ("folder", "core", "cnt", "edit"), _same_time),
-    Rule("original's name, folder and time", ("lib", "folder", "core", "cnt"), lambda: _plain_of_edit() & _same_time()),
-    Rule("original's name and time", ("lib", "core", "cnt"), lambda: _plain_of_edit() & _same_time()),
-    Rule("original's name and folder", ("lib", "folder", "core", "cnt"), lambda: _plain_of_edit() & ~_contradicts()),
-    Rule("original's name, folder and time, library unknown", ("folder", "core", "cnt"), lambda: _plain_of_edit() & _same_time()),
-    Rule("name and cut folder", ("lib", "folder8", "core", "cnt", "edit"), lambda: ~_contradicts() & _one_starts_other("folder", "o_folder", 8)),
-    Rule("name, cut folder and time, library unknown", ("folder8", "core", "cnt", "edit"), lambda: _same_time() & _one_starts_other("folder", "o_folder", 8)),
-    Rule("original's name and cut folder", ("lib", "folder8", "core", "cnt"), lambda: _plain_of_edit() & ~_contradicts() & _one_starts_other("folder", "o_folder", 8)),
-    Rule("cut name and folder", ("lib", "folder", "core24", "cnt", "edit"), lambda: ~_contradicts() & _one_starts_other("core", "o_core", 24)),
-    Rule("renamed: folder and time", ("lib", "folder", "second"), lambda: (F.col("o_edit") == "") & (F.col("core") != F.col("o_core")) & (_video(F.col("ext")) == _video(F.col("o_ext")))),
-    Rule("renamed: time", ("lib", "second"), lambda: (F.col("o_edit") == "") & (F.col("core") != F.col("o_core")) & (_video(F.col("ext")) == _video(F.col("o_ext")))),
-    Rule("renamed: folder and time, library unknown", ("folder", "second"), lambda: (F.col("o_edit") == "") & (F.col("core") != F.col("o_core")) & (_video(F.col("ext")) == _video(F.col("o_ext")))),
+def _renamed() -> Column:
+    return (F.col("o_edit") == "") & (F.col("core") != F.col("o_core")) & (_video(F.col("ext")) == _video(F.col("o_ext")))
+
+
+def _folders_alike() -> Column:
+    return (F.col("folder") == F.col("o_folder")) | _one_starts_other("folder", "o_folder", 8)
+
+
+CASCADE = (
+    Pass(("lib", "folder", "core", "cnt"), (
+        ("name, folder and time", lambda: _alike() & _same_time()),
+        ("name and folder", lambda: _alike() & ~_contradicts()),
+        ("original's name, folder and time", lambda: _plain_of_edit() & _same_time()),
+        ("original's name and folder", lambda: _plain_of_edit() & ~_contradicts()),
+    )),
+    Pass(("lib", "core", "cnt"), (
+        ("name and time", lambda: _alike() & _same_time()),
+        ("original's name and time", lambda: _plain_of_edit() & _same_time()),
+        ("name and cut folder", lambda: _alike() & ~_contradicts() & _folders_alike()),
+        ("original's name and cut folder", lambda: _plain_of_edit() & ~_contradicts() & _folders_alike()),
+    )),
+    Pass(("folder8", "core", "cnt"), (
+        ("name, folder and time, library unknown", lambda: _alike() & _same_time() & _folders_alike()),
+        ("original's name, folder and time, library unknown", lambda: _plain_of_edit() & _same_time() & _folders_alike()),
+    )),
+    Pass(("lib", "folder", "core24"), (
+        ("cut name and folder", lambda: (F.col("cnt") == F.col("o_cnt")) & _alike() & ~_contradicts() & _one_starts_other("core", "o_core", 24)),
+    )),
+    Pass(("lib", "second"), (
+        ("renamed: folder and time", lambda: _renamed() & (F.col("folder") == F.col("o_folder"))),
+        ("renamed: time", _renamed),
+    )),
+    Pass(("folder", "second"), (("renamed: folder and time, library unknown", _renamed),)),
 )
+RULES = tuple(name for p in CASCADE for name, _ in p.rules)
 ORIGINALS = "orphan of the original"
 
 
 def _weak_keys(df: DataFrame) -> DataFrame:
-    return df.withColumn("folder8", F.when(F.length("folder") >= 8, F.left("folder", F.lit(8)))).withColumn("core24", F.when(F.length("core") >= 24, F.left("core", F.lit(24))))
+    return df.withColumn("folder8", F.left("folder", F.lit(8))).withColumn("core24", F.when(F.length("core") >= 24, F.left("core", F.lit(24))))
 
 
 def _media(copies: DataFrame, exif: DataFrame, bound: int) -> DataFrame:
@@ -198,13 +221,18 @@ def match_orphans(copies: DataFrame, orphans: DataFrame, sidecar_docs: DataFrame
     media = materialise(_media(copies, exif, labelled_bound), "matchable")
     cards = materialise(_sidecars(orphans, sidecar_docs, media), "cards")
     rest = media.drop("ref").distinct()
-    for number, rule in enumerate(RULES):
-        keys = ["pop", *rule.keys]
-        other = cards.select(*[F.col(k) for k in keys], *[F.col(c).alias(f"o_{c}") for c in ("orphan_ord", "at", "owner", "folder", "core", "edit", "ext", "taken")])
-        there = rest.where(F.col(rule.keys[-1]).isNotNull())
-        pairs = there.join(other, keys).where(rule.holds()).select("pop", "hash", F.col("o_orphan_ord").alias("orphan_ord"), F.col("o_at").alias("at"), F.col("o_owner").alias("owner"), F.lit(number).alias("rule")).distinct()
-        pairs = materialise(pairs, f"rule{number}")
-        done = pairs if number == 0 else done.unionByName(pairs)
+    number = 0
+    for step in CASCADE:
+        keys = ["pop", *step.keys]
+        other = cards.select(*[F.col(k) for k in keys], *[F.col(c).alias(f"o_{c}") for c in ("orphan_ord", "at", "owner", "folder", "core", "cnt", "edit", "ext", "taken")])
+        rule = F.coalesce(*[F.when(holds(), F.lit(number + i)) for i, (_, holds) in enumerate(step.rules)])
+        number += len(step.rules)
+        pairs = rest.where(F.col(step.keys[-1]).isNotNull()).join(other, keys).select("pop", "hash", F.col("o_orphan_ord").alias("orphan_ord"), F.col("o_at").alias("at"), F.col("o_owner").alias("owner"), rule.alias("rule"))
+        pairs = pairs.where("rule is not null").distinct()
+        # several sidecars of one content are kept if the same rule finds them
+        pairs = pairs.withColumn("_best", F.min("rule").over(Window.partitionBy("pop", "hash"))).where("rule = _best").drop("_best")
+        pairs = materialise(pairs, f"pass{number}")
+        done = pairs if step is CASCADE[0] else done.unionByName(pairs)
         rest = rest.join(pairs.select("pop", "hash").distinct(), ["pop", "hash"], "left_anti")
     # an edited copy without evidence of its own takes what its original, in the same folder, was given
     original = media.where("edit = ''").join(done, ["pop", "hash"]).select("pop", "lib", "folder", "core", "cnt", "orphan_ord", "at", "owner").distinct()
@@ -221,7 +249,7 @@ def match_orphans(copies: DataFrame, orphans: DataFrame, sidecar_docs: DataFrame
     return found.join(_precision(done, media, cards), "rule", "left").select(
         "hash",
         "orphan_ord",
-        F.element_at(F.array(*[F.lit(r.name) for r in RULES], F.lit(ORIGINALS)), F.col("rule") + 1).alias("rule"),
+        F.element_at(F.array(*[F.lit(r) for r in RULES], F.lit(ORIGINALS)), F.col("rule") + 1).alias("rule"),
         F.coalesce("confidence", F.lit(0.5)).alias("confidence"),
     )
 
