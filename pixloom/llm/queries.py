@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pixloom.llm.components import connected_groups
 from pixloom.llm.entities import match_orphans
+from pixloom.llm.leaks import leaked_items
+from pixloom.llm.quality import document_kinds
 from pixloom.llm.survivors import best_records, undisputed
 from pixloom.llm.tokens import encode_corpus, read_rank_file
 
@@ -45,7 +47,27 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), read_rank_file())
 
 
-QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_survivors": p3_survivors, "p5_found": p5_found, "p6_ids": p6_ids}
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the items they leak, and how much of each."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the items they leak."""
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, probabilities and kind of every document."""
+    return document_kinds(*[table(spark, sf_dir, t) for t in ("documents", "labels", "common_words")])
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are not natural prose."""
+    return p8_statistics(spark, sf_dir).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_survivors": p3_survivors, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_statistics": p8_statistics}
 
 SQL = {
     "p5_found": """
