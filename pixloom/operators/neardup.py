@@ -46,7 +46,7 @@ def similar_pairs(prints: DataFrame, max_distance: int = MAX_DISTANCE, max_color
     sizes = [min(64, bits - 64 * w) for w in range(word_count)]
     pairwise = bits / (max_distance + 1) < 8
     bands = _bands(sizes, max_distance + 2 if pairwise else max_distance + 1)
-    value = lambda w, at, width: F.shiftrightunsigned(F.get("words", F.lit(w)), at).bitwiseAND(F.lit((1 << width) - 1))
+    value = lambda w, at, width: F.shiftrightunsigned(F.get("words", F.lit(w)), at).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
     valued = rep.select("id", "words", F.array(*[value(*b) for b in bands]).alias("v"))
     m = len(bands)
     one = lambda i: F.struct(i.alias("band"), F.lit(0).alias("other"), F.get("v", i).alias("value"), F.lit(0).cast("bigint").alias("value2"))

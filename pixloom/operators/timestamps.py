@@ -122,7 +122,7 @@ def _best_history(votes: pd.DataFrame) -> pd.DataFrame:
     buckets = np.sort(votes["bucket"].unique())
     choices = np.sort(votes.loc[votes["kind"] == "seen", "off"].unique())
     if not len(choices):
-        return pd.DataFrame({"source": [], "bucket": [], "est_off": [], "violations": []})
+        return votes[["source", "bucket"]].head(0).assign(est_off=np.array([], dtype=np.int32), violations=np.array([], dtype=np.int32))
     at = {b: i for i, b in enumerate(buckets)}
     cost = np.zeros((len(buckets), len(choices)))
     for bucket, kind, off, n in votes[["bucket", "kind", "off", "n"]].itertuples(index=False):

@@ -150,8 +150,8 @@ SQL = {
         x AS (SELECT c.*, choice.id AS found FROM c LEFT JOIN g ON c.name = g.name LEFT JOIN choice ON g.inn = choice.inner_name),
         y AS (SELECT *, bool_or(own IS NOT NULL) OVER (PARTITION BY sha256) AS any_own FROM x),
         z AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY CASE WHEN own IS NOT NULL THEN 0 WHEN NOT any_own AND found IS NOT NULL THEN 1 ELSE 2 END, scan_ord) AS k FROM y),
-        h AS (SELECT sha256, CASE WHEN bool_or(bucket IS NULL) THEN NULL WHEN bool_or(bucket = 'archive') THEN 'archive' ELSE 'trash' END AS bucket, coalesce(list_sort(list(DISTINCT album) FILTER (WHERE album IS NOT NULL)), []) AS albums, count(*) AS n_copies FROM c GROUP BY sha256)
-        SELECT z.sha256, scan_ord, name, place, CASE WHEN any_own THEN own ELSE found END AS sidecar, NOT any_own AND found IS NOT NULL AS recovered, h.bucket, albums, n_copies FROM z JOIN h ON z.sha256 = h.sha256 WHERE k = 1""",
+        per AS (SELECT sha256, CASE WHEN bool_or(bucket IS NULL) THEN NULL WHEN bool_or(bucket = 'archive') THEN 'archive' ELSE 'trash' END AS bucket, coalesce(list_sort(list(DISTINCT album) FILTER (WHERE album IS NOT NULL)), []) AS albums, count(*) AS n_copies FROM c GROUP BY sha256)
+        SELECT z.sha256, scan_ord, name, place, CASE WHEN any_own THEN own ELSE found END AS sidecar, NOT any_own AND found IS NOT NULL AS recovered, per.bucket, albums, n_copies FROM z JOIN per ON z.sha256 = per.sha256 WHERE k = 1""",
     "dedup_summary": "SELECT count(*) AS files, count(DISTINCT lower(sha256)) AS \"unique\", count(*) - count(DISTINCT lower(sha256)) AS redundant FROM copies WHERE sha256 IS NOT NULL",
     "sidecar_names": f"""WITH {_MATCH.strip()} SELECT DISTINCT json, inn AS "inner", inn || CASE WHEN contains(json, '.supplemental-metadata') THEN '.supplemental-metadata.json' ELSE '.json' END AS dest FROM inn""",
     "sidecar_dates": f"WITH {_DOCS.strip()} SELECT sidecar_id, year, month FROM sd",
