@@ -136,7 +136,7 @@ CASCADE = (
         ("name and cut folder", lambda: _alike() & ~_contradicts() & _folders_alike()),
         ("original's name and cut folder", lambda: _plain_of_edit() & ~_contradicts() & _folders_alike()),
     )),
-    Pass(("folder8", "core", "cnt"), (
+    Pass(("core", "cnt", "phase"), (  # the phase of the quarter hour is the same whatever the zone, so names of all libraries need not meet
         ("name, folder and time, library unknown", lambda: _alike() & _same_time() & _folders_alike()),
         ("original's name, folder and time, library unknown", lambda: _plain_of_edit() & _same_time() & _folders_alike()),
     )),
@@ -154,7 +154,7 @@ ORIGINALS = "orphan of the original"
 
 
 def _weak_keys(df: DataFrame) -> DataFrame:
-    return df.withColumn("folder8", F.left("folder", F.lit(8))).withColumn("core24", F.when(F.length("core") >= 24, F.left("core", F.lit(24))))
+    return df.withColumn("core24", F.when(F.length("core") >= 24, F.left("core", F.lit(24))))
 
 
 def _media(copies: DataFrame, exif: DataFrame, bound: int) -> DataFrame:
@@ -185,6 +185,7 @@ def _media(copies: DataFrame, exif: DataFrame, bound: int) -> DataFrame:
         F.min(F.when(~taken & zoneless, second("local_us"))).alias("cl_min"),
     )
     out = kept.drop("place").distinct().join(times, "hash", "left")
+    out = out.withColumn("phase", F.coalesce("t_min", "l_min") % QUARTER)
     return _weak_keys(out).withColumn("second", F.explode_outer(F.array_distinct(F.array_compact(F.array("t_min", "t_max")))))
 
 
@@ -202,7 +203,8 @@ def _sidecars(orphans: DataFrame, docs: DataFrame, media: DataFrame) -> DataFram
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("inner_name", numbered, "$1"), r"\.json$", ""), r"(\.[A-Za-z0-9]{2,4})\.s[a-z-]*$", "$1")
     out = with_name_parts(found, F.coalesce(F.nullif(F.trim("title"), F.lit("")), bare), F.regexp_extract("inner_name", numbered, 2))
     out = _weak_keys(with_place_parts(out, F.col("at")).withColumn("taken", F.floor(F.col("taken_us") / 1_000_000)).withColumn("second", F.col("taken")))
-    out = out.select("orphan_ord", "at", "owner", "lib", "folder", "folder8", "core", "core24", "cnt", "edit", "ext", "taken", "second")
+    out = out.withColumn("phase", F.col("taken") % QUARTER)
+    out = out.select("orphan_ord", "at", "owner", "lib", "folder", "phase", "core", "core24", "cnt", "edit", "ext", "taken", "second")
     pops = F.when(F.col("owner").isNotNull(), F.array(F.lit("labelled"))).otherwise(F.array(F.lit("open"), F.lit("labelled")))
     return out.withColumn("pop", F.explode(pops))
 

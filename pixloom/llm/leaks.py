@@ -31,7 +31,7 @@ LEAST_CONTAINED = 0.35
 MISS = 1 / 400
 SIZES = (16, 32, 64)
 OVERLAP = 32
-ITEM_BLOCK = 2_000
+ITEM_BLOCK, BLOCK_CHARS = 2_000, 20_000_000
 LEAST_WORDS = 20
 EDIT_COST = 5
 EDITS_PER_WORD = 1 / 7
@@ -200,12 +200,13 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     them changed, dropped or added (one in eight, and one more for the passage's ends). Null and empty texts leak nothing, items
     of fewer than 20 words cannot be leaked; a document that occurs twice gives its rows once. Other columns are ignored.
 
-    Whole texts of all documents are searched, in one pass over them for each block of items; a block (2,000 items) is what is
-    sent to the tasks, so what is broadcast does not grow with the items. No shuffle but the last distinct over the few leaks.
+    Whole texts of all documents are searched, in one pass over them for each block of items; a block (about 2,000 items, 20 million
+    characters) is what is sent to the tasks, so what is broadcast does not grow with the items. No shuffle but the last distinct over the few leaks.
     """
     spark = docs.sparkSession
     held = items.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).alias("i"), F.col(item_text).alias("t"))
-    blocks = max(1, math.ceil(held.count() / block))
+    size = held.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    blocks = max(1, math.ceil(size[0] / block), math.ceil(size[1] / BLOCK_CHARS))
     out = None
     for b in range(blocks):
         mine = held if blocks == 1 else held.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
