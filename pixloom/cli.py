@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     o.add_argument("--no-extension-fix", action="store_true")
     o.add_argument("--live-motion", choices=("archive", "drop", "keep", "errors"), default="archive")
     o.add_argument("--include-undated", action="store_true")
+    o.add_argument("--albums", choices=("link", "copy", "manifest", "none"), default="link")
     o.add_argument("--dry-run", action="store_true")
     v = sub.add_parser("verify", help="check a library against its list of done contents")
     v.add_argument("--inventory", required=True, help="parquet with sha256")
@@ -40,7 +42,9 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = build_session()
     if a.what == "organise":
-        options = Options(min_year=a.min_year, fix_extensions=not a.no_extension_fix, motion=a.live_motion, include_undated=a.include_undated)
+        options = Options(min_year=a.min_year, fix_extensions=not a.no_extension_fix, motion=a.live_motion, include_undated=a.include_undated, albums=a.albums)
+        if not os.path.isdir(a.source):
+            raise SystemExit(f"no such folder: {a.source}")
         out = run(spark, a.source, a.output, options, a.dry_run)
         out["summary"].show(truncate=False)
         if a.dry_run:

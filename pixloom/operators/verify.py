@@ -77,3 +77,8 @@ def verdict(checks: DataFrame) -> DataFrame:
 def first_shown(files: DataFrame, order: str = "rel_path", shown: int = SHOWN) -> DataFrame:
     """The first rows of a report (30), in order."""
     return files.orderBy(order).limit(shown)
+
+
+def error_counts(errors: DataFrame) -> DataFrame:
+    """(category, n) of errors(category, ident, detail), most frequent first."""
+    return errors.groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category")

@@ -12,6 +12,7 @@ from pixloom.functions import dates as D
 from pixloom.functions import filetypes as T
 from pixloom.functions.records import ref_id
 from pixloom.operators import motion, placement, tags, verify
+from pixloom.operators.albums import album_links
 from pixloom.operators.winners import album_manifest, dedup_summary, select_winners
 from pixloom.session import materialise
 from pixloom.sources.files import scan
@@ -25,6 +26,7 @@ class Options:
     fix_extensions: bool = True
     motion: str = "archive"  # archive, drop, keep, errors
     include_undated: bool = False
+    albums: str = "link"  # link, copy, manifest, none
 
 
 def decide(copies: DataFrame, orphans: DataFrame, docs: DataFrame, embedded: DataFrame, options: Options = Options()) -> DataFrame:
@@ -84,5 +86,9 @@ def run(spark: SparkSession, source: str, output: str, options: Options = Option
     files = there.join(placed.select("rel_path"), "rel_path", "left_semi")
     out["checks"] = verify.count_checks(copies, placed, files).unionByName(verify.undated_check(files))
     out["verdict"] = verify.verdict(out["checks"])
-    out["albums"] = album_manifest(placed.select("albums", F.col("rel_path").alias("place")))
+    if options.albums in ("link", "copy"):
+        links = materialise(album_links(placed, output).withColumn("action", F.lit(options.albums)), "links")
+        out["album_effects"] = materialise(carry_out(links, output), "album_effects")
+    if options.albums != "none":
+        out["albums"] = album_manifest(placed.select("albums", F.col("rel_path").alias("place")))
     return out

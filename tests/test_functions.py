@@ -22,7 +22,7 @@ def test_suffix_and_stem(spark):
 def test_buckets_and_albums(spark):
     p = ["x/Trash/a.jpg", "x/ARCHIVE/a.jpg", "archive/trash/a.jpg", "x/Trashy/a.jpg", None]
     assert column(spark, p, "string", paths.path_bucket) == ["trash", "archive", "trash", None, None]
-    p = ["r/Trip/a.jpg", "r/Photos from 2019/a.jpg", "r/Takeout/a.jpg", "a.jpg", "r/photos from 19/a.jpg"]
+    p = ["r/Trip/a.jpg", "r/Photos from 2019/a.jpg", f"r/{paths.SKIPPED_FOLDERS[0]}/a.jpg", "a.jpg", "r/photos from 19/a.jpg"]
     assert column(spark, p, "string", paths.album_of) == ["Trip", None, None, None, "photos from 19"]
     assert column(spark, ['a<b>:c', " x. . ", "..."], "string", paths.safe_album) == ["a_b__c", "x", "_album"]
 
@@ -33,7 +33,7 @@ def test_human_size(spark):
 
 def test_errors_path(spark):
     rows = spark.createDataFrame(
-        [("dir", "/in/Takeout/Google Photos/A/x.jpg", None, None), ("zip", None, "/in/part-1.zip", "Takeout/A/x.jpg"), ("zip", None, "/in/box/p.zip", "Takeout/x.jpg")], "src string, path string, zip string, entry string"
+        [("dir", "/in/{}/{}/A/x.jpg".format(*paths.SKIPPED_FOLDERS), None, None), ("zip", None, "/in/part-1.zip", f"{paths.SKIPPED_FOLDERS[0]}/A/x.jpg"), ("zip", None, "/in/box/p.zip", f"{paths.SKIPPED_FOLDERS[0]}/x.jpg")], "src string, path string, zip string, entry string"
     )
     got = [r.x for r in rows.select(paths.errors_path(F.col("src"), F.col("path"), F.col("zip"), F.col("entry"), "/in").alias("x")).collect()]
     assert got == ["A/x.jpg", "part-1/A/x.jpg", "box/x.jpg"]

@@ -158,8 +158,8 @@ def test_tree_end_to_end(spark, tmp_path):
     put(src / "Trash" / "T.jpg", jpeg("t", "2020:01:01 00:00:00"))
     put(src / "Archive" / "A.jpg", jpeg("a", "2020:01:01 00:00:00"))
     with zipfile.ZipFile(src / "part.zip", "w") as z:
-        z.writestr("Takeout/AlbumB/PIC1.jpg", jpeg("one"))
-        z.writestr("Takeout/AlbumB/SPLIT.jpg.json", sidecar(1546300800))
+        z.writestr("Export/AlbumB/PIC1.jpg", jpeg("one"))
+        z.writestr("Export/AlbumB/SPLIT.jpg.json", sidecar(1546300800))
     put(src / "broken.zip", b"no archive")
     before = {p: p.stat().st_mtime_ns for p in src.rglob("*")}
     done = run(spark, str(src), str(out))
@@ -184,7 +184,9 @@ def test_tree_end_to_end(spark, tmp_path):
     assert [r.ident for r in done["errors"].collect()] == [str(src / "broken.zip")]
     assert before == {p: p.stat().st_mtime_ns for p in src.rglob("*")}
     again = run(spark, str(src), str(out))  # running twice changes nothing
-    assert {r.outcome for r in again["effects"].collect()} == {"present"} and sum(len(f) for *_, f in os.walk(out)) == 11
+    assert {r.outcome for r in again["effects"].collect()} == {"present"} and {r.outcome for r in again["album_effects"].collect()} == {"present"}
+    assert sum(len(f) for d, _, f in os.walk(out) if "Albums" not in d) == 11
+    assert sorted(p.relative_to(out).as_posix() for p in out.glob("Albums/*/*")) == [f"Albums/AlbumA/{n}" for n in ("BOGUS.jpg", "CLIP.mp4", "EMB.jpg", "LIVE.jpg", "PIC1.jpg", "PIC2.jpg", "SPLIT.jpg")] + ["Albums/AlbumB/PIC1.jpg"]
 
 
 def test_fingerprints(spark, tmp_path):
