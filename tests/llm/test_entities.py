@@ -14,7 +14,7 @@ def test_names(spark):
     assert [(r.core, r.cnt, r.edit) for r in df] == [
         ("img 1", "", ""), ("img 1", "2", ""), ("img 1", "", ""), ("img 1", "", ""), ("img 1", "", "-effects-edited"), ("img 1", "", "web"), ("cafe 7", "", ""), ("cafe 7", "", "- kopie"), ("img 1", "1", "~3"), ("copy", "", ""), ("100% x", "", ""),
     ]
-    places = ["/srv/in/lib1/Takeout/Photos/Trip 2019(1)/a.jpg", "/srv/in/lib1/p.zip::Takeout/Photos/Trip_2019/a.jpg", "/srv/in/loose/Trip 2019/123/a.json"]
+    places = ["/srv/in/lib1/Export/Photos/Trip 2019(1)/a.jpg", "/srv/in/lib1/p.zip::Export/Photos/Trip_2019/a.jpg", "/srv/in/loose/Trip 2019/123/a.json"]
     got = with_place_parts(spark.createDataFrame([(p,) for p in places], "p string"), fold.__globals__["F"].col("p")).collect()
     assert [(r.lib, r.folder) for r in got] == [("/srv/in/lib1", "trip2019"), ("/srv/in/lib1", "trip2019"), ("/srv/in/loose", "trip2019")]
 
