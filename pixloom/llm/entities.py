@@ -191,7 +191,7 @@ def _media(copies: DataFrame, exif: DataFrame, bound: int) -> DataFrame:
 
 def _sidecars(orphans: DataFrame, docs: DataFrame, media: DataFrame) -> DataFrame:
     """Orphans for both populations, and the sidecars of the labelled records as if they were orphans; name, place and time of each."""
-    loose = orphans.select(F.col("scan_ord").alias("orphan_ord"), "inner_name", ref_id("ref").alias("at"), F.lit(None).cast("string").alias("owner"))
+    loose = orphans.where("scan_ord is not null").select(F.col("scan_ord").alias("orphan_ord"), "inner_name", ref_id("ref").alias("at"), F.lit(None).cast("string").alias("owner"))
     claimed = media.where("pop = 'labelled' and ref is not null").select(F.lit(None).cast("bigint").alias("orphan_ord"), F.element_at(F.split("ref", "/"), -1).alias("inner_name"), F.col("ref").alias("at"), F.col("hash").alias("owner")).distinct()
     wanted = materialise(loose.unionByName(claimed).where("at is not null"), "sidecars")
     mine = docs.withColumn("_at", ref_id("ref")).join(wanted.select(F.col("at").alias("_at")).distinct(), "_at", "left_semi")
@@ -215,7 +215,7 @@ def match_orphans(copies: DataFrame, orphans: DataFrame, sidecar_docs: DataFrame
     A content may get several orphans (a sidecar delivered twice) and an orphan several contents (a photograph and its edited
     copies); repeated rows give one pair. Names and folders are compared without letter case, accents, percent codes, copy
     prefixes and edit marks; a document that cannot be read leaves name and place as evidence. Contents without readable hash
-    and records without place have no match; empty tables give none. Other columns are ignored.
+    and records without place have no match, orphans without number or place match nothing; empty tables give none. Other columns are ignored.
 
     labelled_bound: about how many contents with known sidecars the rules' precision is estimated on (all, if there are fewer);
     confidence is (right + 1) / (pairs + 2). Matching itself always covers all records.

@@ -198,7 +198,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     A document leaks an item if a passage reproduces LEAST_WORDS (20) or more of its words in order with at most one in seven of
     them changed, dropped or added (one in eight, and one more for the passage's ends). Null and empty texts leak nothing, items
-    of fewer than 20 words cannot be leaked; a document that occurs twice gives its rows once. Other columns are ignored.
+    of fewer than 20 words cannot be leaked; a document that occurs twice gives its rows once; rows without id are ignored, and so are
+    other columns.
 
     Whole texts of all documents are searched, in one pass over them for each block of items; a block (about 2,000 items, 20 million
     characters) is what is sent to the tasks, so what is broadcast does not grow with the items. No shuffle but the last distinct over the few leaks.
@@ -211,7 +212,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     for b in range(blocks):
         mine = held if blocks == 1 else held.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
         index = spark.sparkContext.broadcast(Index.build([(r.i, r.t) for r in mine.collect()]))
-        found = docs.where(F.length(text_col) > 0).select(id_col, text_col).mapInPandas(_searcher(index, id_col, item_col), f"`{id_col}` bigint, `{item_col}` bigint, share double")
+        found = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(id_col, text_col).mapInPandas(_searcher(index, id_col, item_col), f"`{id_col}` bigint, `{item_col}` bigint, share double")
         out = found if out is None else out.unionByName(found)
     return out.groupBy(id_col, item_col).agg(F.max("share").alias("share"))
 

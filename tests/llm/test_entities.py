@@ -71,7 +71,7 @@ def test_cases(spark):
     w.orphan(10, "lib3", "Album", "nobody.jpg", ts=TS + 99)
     w.orphan(11, "lib1", "Trip 2019", "IMG_1-COLLAGE.jpg", ts=TS)  # of an edited copy, not of the original
     w.copies += [(900, None, "dir", "/srv/in/lib1/x.jpg", None, None, "x.jpg", None, "x"), (901, "zz", "dir", "/x.jpg", None, None, "x.jpg", None, "x"), w.copies[0]]
-    w.orphans += [(90, None, None), (91, "x.jpg", ("dir", None, None, None)), w.orphans[0]]
+    w.orphans += [(None, "x.jpg", ("dir", BASE.format("lib1", "Trip 2019", "IMG_1.jpg.json"), None, None)), (90, None, None), (91, "x.jpg", ("dir", None, None, None)), w.orphans[0]]
     w.docs += [(900, None, None), (901, ("dir", "/q.json", None, None), "{cut")]
     rows = w.run(spark).collect()
     got = {(int(r.hash, 16), r.orphan_ord) for r in rows}

@@ -81,7 +81,7 @@ def test_search_is_all_that_alignment_finds():
 
 
 def test_tables(spark):
-    docs = [(1, ITEMS[0][1], "x"), (1, ITEMS[0][1], "x"), (2, None, "x"), (3, "", "x"), (4, "nothing here", "x"), (5, "lang " * 50_000 + ITEMS[1][1], "x")]
+    docs = [(1, ITEMS[0][1], "x"), (1, ITEMS[0][1], "x"), (2, None, "x"), (3, "", "x"), (4, "nothing here", "x"), (5, "lang " * 50_000 + ITEMS[1][1], "x"), (None, ITEMS[2][1], "x")]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, item_id string")
     i = spark.createDataFrame([(a, t, "x") for a, t in ITEMS] + [(100, None, "x"), (101, "", "x"), (None, "a b c", "x"), (102, "too short", "x")], "item_id bigint, text string, share string")
     got = {(r.doc_id, r.item_id): r.share for r in leaks.leaked_items(d, i).collect()}
