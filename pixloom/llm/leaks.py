@@ -37,6 +37,8 @@ EDIT_COST = 5
 EDITS_PER_WORD = 1 / 7
 
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,200}>")
+_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\([nrt])")
+_PERCENT = re.compile(r"(?:%[0-9a-fA-F]{2})+")
 _SPLIT_WORD = re.compile(r"(\w)[-‐‑]\s*\n[\s>]*(\w)")
 _INSIDE = re.compile(r"['’‘`´ʼ]")
 _WORD = re.compile(r"[^\W_]+")
@@ -44,8 +46,12 @@ _IDEOGRAPH = re.compile(r"([぀-ヿ㐀-鿿豈-﫿])")
 
 
 def plain_words(text: str) -> list[str]:
-    """The words of a text however they are written, set or marked up: letter case, accents, markup, invisible characters, line
-    breaks, quotation and apostrophes do not matter. Characters of scripts without blanks are words of their own."""
+    """The words of a text however they are written, set or marked up: letter case, accents, markup, escapes, invisible characters,
+    line breaks, quotation and apostrophes do not matter. Characters of scripts without blanks are words of their own."""
+    if "\\" in text:
+        text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else " ", text)
+    if "%20" in text:
+        text = _PERCENT.sub(lambda m: bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace"), text)
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "&" in text:

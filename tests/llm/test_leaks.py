@@ -37,7 +37,7 @@ def test_writing_does_not_matter():
     noise = item(500, 200)
     forms = [
         " ".join(w), " ".join(w).upper(), "\n> ".join(w), "<p>" + "</b> <b>".join(w) + "</p>", "*" + "* _".join(w) + "_", ", ".join(x.capitalize() for x in w) + ".", " ".join(x[:1] + "​" + x[1:] for x in w),
-        " ".join(x[:1] + "­" + x[1:] for x in w), "&nbsp;".join(w), " ".join("".join(c + "́" if c == "e" else c for c in x) for x in w), " ".join(w), " ".join(x[:2] + "-\n" + x[2:] if i % 9 == 8 else x for i, x in enumerate(w)),
+        " ".join(x[:1] + "­" + x[1:] for x in w), "&nbsp;".join(w), "\\u0020".join(w), "%20".join(w), " ".join("".join(c + "́" if c == "e" else c for c in x) for x in w), " ".join(w), " ".join(x[:2] + "-\n" + x[2:] if i % 9 == 8 else x for i, x in enumerate(w)),
     ]
     texts = [f"{noise} {f} {noise}" for f in forms]
     hits = found(texts)
