@@ -12,6 +12,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -50,7 +51,7 @@ _BULLET = re.compile(r"^\s*(?:[-–—*•·‣◦▪●○☐☑✓✔✗>+]|\[
 _PAIR = re.compile(r"^\s*[^\W\d_][\w .()/-]{0,30}?\s*[:=]\s+\S[^!?。]{0,40}$|^\s*[^\W\d_][\w .-]{0,30}\s*=\s*\S{1,40}$")
 _FILE = re.compile(r"\w\.(?:jpe?g|png|gif|heic|webp|mp4|mov|avi|raw|dng|tiff?|pdf|docx?|txt|zip|json|csv)\b", re.I)
 _TAG = re.compile(r"(?:^|\s)#[^\W_][\w-]*")
-_HEX = re.compile(r"^[0-9a-f]{2}$|^[0-9a-f]{6,}$", re.I)
+_HEX = re.compile(r"(?<!\S)(?:[0-9a-f]{2}|[0-9a-f]{6,})(?!\S)", re.I)
 _BROKEN = re.compile(r"[^\W\d_][^\w\s'’.\-/&@,:·#*_=+%()\"“”„«»!?;…<>|][^\W\d_]|[^\W\d_][!|;(){}\[\]~^»«_<>0-9][^\W\d_]|[a-zà-ÿ][A-Z0O1I][a-zà-ÿ]")
 _SENTENCE_END = re.compile(r"[.!?…。！？][\"'”»)\]]*\s*$")
 _ANY_END = re.compile(r"[.!?…。！？:;,][\"'”»)\]]*\s*$")
@@ -62,9 +63,23 @@ _CJK_STOP = re.compile(r"[。、！？]")
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,60}>")
 
 
-def _known(words: list[str], common: dict[str, frozenset[str]]) -> float:
+@lru_cache(8)
+def _languages(common: tuple[tuple[str, frozenset[str]], ...]) -> dict[str, tuple[int, ...]]:
+    """The languages in which each word is common, by their place."""
+    out: dict[str, tuple[int, ...]] = {}
+    for i, (_, words) in enumerate(common):
+        for w in words:
+            out[w] = (*out.get(w, ()), i)
+    return out
+
+
+def _known(words: list[str], languages: dict[str, tuple[int, ...]]) -> float:
     """The share of words that are common in the language in which most of them are."""
-    return max((sum(w in own for w in words) for own in common.values()), default=0) / len(words) if words else 0.0
+    counts: dict[int, int] = {}
+    for w in words:
+        for i in languages.get(w, ()):
+            counts[i] = counts.get(i, 0) + 1
+    return max(counts.values(), default=0) / len(words) if words else 0.0
 
 
 def _fields(line: str, cut: list[str], known: float) -> bool:
@@ -86,7 +101,7 @@ def _line_kind(line: str, words: list[str], known: float, menu: float) -> str:
     if odd >= 3 and odd > 0.12 * size:
         return "junk"
     tokens = line.split()
-    hexes = sum(1 for t in tokens if _HEX.match(t))
+    hexes = len(_HEX.findall(line))
     if len(tokens) >= 6 and (hexes >= 0.7 * len(tokens) or sum(map(str.isdigit, tokens)) >= 0.9 * len(tokens)):
         return "junk"
     longest = max(map(len, tokens), default=0)
@@ -148,6 +163,7 @@ def _repeated(items: list[str], span: int = 6) -> float:
 
 def statistics(text: str, common: dict[str, frozenset[str]]) -> list[float]:
     """STATISTICS of one text; all its lines, words and characters are read."""
+    languages = _languages(tuple(common.items()))
     lines = [x for x in re.split(r"\r\n|\r|\n", text) if x.strip()]
     words = _WORD.findall(text)
     lower = [w.lower() for w in words]
@@ -168,7 +184,7 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> list[float]:
     for line in lines:
         own = [w.lower() for w in _WORD.findall(line)]
         menu = sum(w in MENU_WORDS for w in own) / len(own) if own else 0.0
-        kind = _line_kind(line, own, _known(own, common), menu)
+        kind = _line_kind(line, own, _known(own, languages), menu)
         short += len(own) <= 5
         bullets += bool(_BULLET.match(line))
         pairs += bool(_PAIR.match(line))
@@ -194,7 +210,7 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> list[float]:
         sum(map(len, words)) / n,
         (len(text) - letters - spaces - digits) / size,
         ends / max(1, len(lines)),
-        _known(lower, common),
+        _known(lower, languages),
         math.log1p(len(text)),
         math.log1p(len(lines)),
         digits / size,
@@ -225,7 +241,7 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> list[float]:
         len(_TAG.findall(text)) / n,
         (len(_ODD.findall(text)) + len(_ODD_LEAD.findall(text))) / size,
         len(_BROKEN.findall(_MARKUP.sub(" ", text))) / n,
-        sum(1 for t in tokens if _HEX.match(t)) / max(1, len(tokens)),
+        len(_HEX.findall(text)) / max(1, len(tokens)),
         furniture,
         sum(w[:1].isupper() for w in words) / n,
         *[shares[k] / total for k in KINDS],
