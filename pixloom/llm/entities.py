@@ -150,6 +150,7 @@ CASCADE = (
     Pass(("folder", "second"), (("renamed: folder and time, library unknown", _renamed),)),
 )
 RULES = tuple(name for p in CASCADE for name, _ in p.rules)
+ORIGINAL_RULES = tuple(i for i, name in enumerate(RULES) if name.startswith("original's"))
 ORIGINALS = "orphan of the original"
 
 
@@ -231,8 +232,9 @@ def match_orphans(copies: DataFrame, orphans: DataFrame, sidecar_docs: DataFrame
         number += len(step.rules)
         pairs = rest.where(F.col(step.keys[-1]).isNotNull()).join(other, keys).select("pop", "hash", F.col("o_orphan_ord").alias("orphan_ord"), F.col("o_at").alias("at"), F.col("o_owner").alias("owner"), rule.alias("rule"))
         pairs = pairs.where("rule is not null").distinct()
-        # several sidecars of one content are kept if the same rule finds them
-        pairs = pairs.withColumn("_best", F.min("rule").over(Window.partitionBy("pop", "hash"))).where("rule = _best").drop("_best")
+        # several sidecars of one content are kept if the same rule finds them; an edited copy takes its own and its original's
+        pairs = pairs.withColumn("_original", F.col("rule").isin(*ORIGINAL_RULES))
+        pairs = pairs.withColumn("_best", F.min("rule").over(Window.partitionBy("pop", "hash", "_original"))).where("rule = _best").drop("_best", "_original")
         pairs = materialise(pairs, f"pass{number}")
         done = pairs if step is CASCADE[0] else done.unionByName(pairs)
         rest = rest.join(pairs.select("pop", "hash").distinct(), ["pop", "hash"], "left_anti")
