@@ -33,16 +33,20 @@ def named_media(json_name: Column) -> Column:
     body = F.regexp_replace(json_name, r"\.json$", "")
     counted = r"(?s)^(.*)(\.[^.]+)(\(\d+\))$"
     moved = lambda text: F.when(text.rlike(counted), F.regexp_replace(text, counted, "$1$3$2"))
-    cut = lambda text, e: F.when(text.endswith(e) & (F.length(text) > len(e)), F.left(text, F.length(text) - len(e)))
     tail = F.regexp_extract(body, r"(\(\d+\))$", 1)
     bare = F.when(tail != "", F.left(body, F.length(body) - F.length(tail)))
-    found = []
-    for i, e in enumerate(endings()):
-        plain = cut(body, e) if e else body
-        after = cut(bare, e) if e else bare
-        found += [(plain, i), (moved(plain), 23 + 2 * i), (moved(F.concat(after, tail)), 24 + 2 * i)]
-    rows = F.array(*[F.struct(m.alias("media"), F.lit(r).alias("rank")) for m, r in found])
-    return F.when(json_name.endswith(".json"), F.filter(rows, lambda x: x["media"].isNotNull()))
+    cut = lambda text, e: F.when(F.endswith(text, e) & (F.length(text) > F.length(e)), F.left(text, F.length(text) - F.length(e)))
+    row = lambda media, rank: F.struct(media.alias("media"), rank.alias("rank"))
+    # lambdas over the few endings that fit, not 69 expressions of one projection
+    ends = F.array(*[F.struct(F.lit(e).alias("e"), F.lit(i).alias("i")) for i, e in enumerate(endings())])
+    fit = F.filter(ends, lambda x: F.endswith(body, x["e"]) | F.coalesce(F.endswith(bare, x["e"]), F.lit(False)))
+    found = F.transform(
+        fit,
+        lambda x: F.array(
+            row(cut(body, x["e"]), x["i"]), row(moved(cut(body, x["e"])), 23 + 2 * x["i"]), row(moved(F.concat(cut(bare, x["e"]), tail)), 24 + 2 * x["i"])
+        ),
+    )
+    return F.when(json_name.endswith(".json"), F.filter(F.flatten(found), lambda x: x["media"].isNotNull()))
 
 
 def sidecar_dest(media: Column, original: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pixloom.functions import filetypes as T
 from pixloom.functions import paths as P
+from pixloom.session import materialise
 
 
 def dest_folder(bucket: Column, name: Column, year: Column, month: Column) -> Column:
@@ -37,7 +38,7 @@ def number_names(plan: DataFrame, order: list[str], folder: str = "folder", name
     pieces = F.split(stem, "_")
     rows = rows.withColumn("_family", F.concat(F.array_join(F.slice(pieces, 1, F.size(pieces) - F.coalesce("_k", F.lit(0))), "_"), ext)).drop("_k").select(*plan.columns, "_family")
     sizes = rows.groupBy(folder, "_family").agg(F.count("*").alias("_n"), (F.min(name) == F.max(name)).alias("_one"))
-    rows = rows.join(sizes, [folder, "_family"], "left").select(*plan.columns, "_family", "_n", "_one")
+    rows = materialise(rows.join(sizes, [folder, "_family"], "left").select(*plan.columns, "_family", "_n", "_one"), "families")
     alone = rows.where("_n = 1 or _n is null").withColumn("final_name", F.col(name)).drop("_family", "_n", "_one")
     k = F.row_number().over(Window.partitionBy(folder, "_family").orderBy(*order)) - 1
     repeated = rows.where("_n > 1 and _one").withColumn("_k", k)

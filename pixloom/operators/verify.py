@@ -28,7 +28,7 @@ def count_checks(inventory: DataFrame, done: DataFrame, files: DataFrame) -> Dat
     fin = done.select(F.lower("sha256").alias("h")).where("h is not null").distinct()
     media = files.where(T.is_media(P.base_name(F.col("rel_path"))))
     n_done, n_files = fin.agg(F.count("*").alias("d")), media.agg(F.count("*").alias("f"))
-    both = n_done.join(F.broadcast(n_files), F.lit(True))  # one row each
+    both = n_done.select("d", F.lit(0).alias("f")).unionByName(n_files.select(F.lit(0).alias("d"), "f")).agg(F.sum("d").alias("d"), F.sum("f").alias("f"))
     stale = fin.join(inv, "h", "left_anti").agg(F.count("*").alias("s"))
     info = F.lit("info")
     return reduce(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pixloom.functions import paths as P
 from pixloom.functions.records import record_id, ref_id
 from pixloom.operators.matching import choose_sidecar, match_anywhere
+from pixloom.session import materialise
 
 
 def content_bucket(bucket: Column) -> Column:
@@ -31,11 +32,13 @@ def select_winners(copies: DataFrame, orphans: DataFrame, docs: DataFrame) -> Da
     """
     rows = copies.where("sha256 is not null").select(F.lower("sha256").alias("sha256"), "scan_ord", "name", record_id().alias("place"), P.place().alias("inside"), "bucket", ref_id("sidecar").alias("own"))
     first = F.struct("scan_ord", "name", "place", "own")
+    # Written where they are read more than once: contents, the copies of contents without sidecar, and what their names find.
     per = rows.groupBy("sha256").agg(
         F.min(F.when(F.col("own").isNotNull(), first)).alias("with"), F.min(first).alias("any"), content_bucket(F.col("bucket")).alias("bucket"), albums_of(F.col("inside")).alias("albums"), F.count("*").alias("n_copies")
     )
-    open_rows = rows.join(per.where("with is null").select("sha256"), "sha256", "left_semi")
-    found = match_anywhere(open_rows, orphans)
+    per = materialise(per, "contents")
+    open_rows = materialise(rows.join(per.where("with is null").select("sha256"), "sha256", "left_semi").select("sha256", "scan_ord", "name", "place"), "open")
+    found = materialise(match_anywhere(open_rows, orphans), "names")
     refs = orphans.select(F.col("inner_name").alias("inner"), ref_id("ref").alias("ref_id"))
     docs = docs.select(ref_id("ref").alias("ref_id"), "raw")
     chosen = choose_sidecar(refs.join(found.select("inner").distinct(), "inner", "left_semi"), docs, ["inner"])
