@@ -49,6 +49,13 @@ def materialise(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work that is bound by CPU. A table that has enough already,
+    as any large one has, is not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Delete a work folder that is no longer read."""
     jvm = spark._jvm
