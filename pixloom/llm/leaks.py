@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixloom.session import spread
+
 SHINGLE = 3
 WINDOW, STEP = 20, 5
 LEAST_CONTAINED = 0.35
@@ -214,11 +216,12 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     held = items.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).alias("i"), F.col(item_text).alias("t"))
     size = held.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     blocks = max(1, math.ceil(size[0] / block), math.ceil(size[1] / BLOCK_CHARS))
+    texts = spread(docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(id_col, text_col))
     out = None
     for b in range(blocks):
         mine = held if blocks == 1 else held.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
         index = spark.sparkContext.broadcast(Index.build([(r.i, r.t) for r in mine.collect()]))
-        found = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(id_col, text_col).mapInPandas(_searcher(index, id_col, item_col), f"`{id_col}` bigint, `{item_col}` bigint, share double")
+        found = texts.mapInPandas(_searcher(index, id_col, item_col), f"`{id_col}` bigint, `{item_col}` bigint, share double")
         out = found if out is None else out.unionByName(found)
     return out.groupBy(id_col, item_col).agg(F.max("share").alias("share"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixloom.llm import boosting
-from pixloom.session import materialise
+from pixloom.session import materialise, spread
 
 KINDS = ("prose", "list", "table", "junk")
 WEAK_BOUND = 8_000
@@ -251,7 +251,7 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> list[float]:
 def document_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, one DOUBLE column for each of STATISTICS): counts are logarithms of one more, the others rates and shares.
 
-    Null, empty and blank texts have all statistics 0. Nothing is shuffled. common_words(word) is a fixed list of a few hundred
+    Null, empty and blank texts have all statistics 0. Nothing is shuffled but tables of fewer partitions than cores. common_words(word) is a fixed list of a few hundred
     words and is sent to the tasks; of a list of more than 100,000 the most frequent (by rank_no) are used.
     """
     known = common_words.where("word is not null").orderBy("rank_no", "word").limit(100_000)
@@ -266,7 +266,8 @@ def document_statistics(docs: DataFrame, common_words: DataFrame, id_col: str =
         for texts in batches:
             yield texts.map(lambda t: statistics(t, fixed.value) if t and t.strip() else [0.0] * len(STATISTICS))
 
-    return docs.select(id_col, read(F.coalesce(F.col(text_col), F.lit(""))).alias("_s")).select(id_col, *[F.col("_s")[i].alias(s) for i, s in enumerate(STATISTICS)])
+    texts = spread(docs.select(id_col, text_col))
+    return texts.select(id_col, read(F.coalesce(F.col(text_col), F.lit(""))).alias("_s")).select(id_col, *[F.col("_s")[i].alias(s) for i, s in enumerate(STATISTICS)])
 
 
 def clean_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

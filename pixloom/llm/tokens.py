@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixloom.session import spread
+
 # Fixed value: the pattern that splits text before merging, as published with the vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Pieces before a border whose matching may have looked beyond it (two characters at most: 'll, and blanks before a word).
@@ -171,7 +173,7 @@ def _loaded(rank_file: bytes) -> Vocabulary:
 def encode_corpus(docs: DataFrame, rank_file: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids ARRAY<INT>): the ids of every text, without special tokens; an empty list for empty and null texts.
 
-    A map over the rows, without shuffle; the vocabulary (below a megabyte, its size does not depend on the data) is broadcast.
+    A map over the rows, without shuffle (but of tables of fewer partitions than cores); the vocabulary (below a megabyte, its size does not depend on the data) is broadcast.
     Blank texts are texts. Repeated ids and texts are encoded as often as they occur. Other columns are ignored.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(rank_file)
@@ -182,7 +184,7 @@ def encode_corpus(docs: DataFrame, rank_file: bytes, id_col: str = "doc_id", tex
         for texts in batches:
             yield texts.map(vocabulary.encode, na_action=None)
 
-    return docs.select(id_col, ids(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
+    return spread(docs.select(id_col, text_col)).select(id_col, ids(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
 
 
 def reencode_corpus(encoded: DataFrame, changed: DataFrame, rank_file: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
