@@ -40,7 +40,6 @@ STATISTICS = (
 MENU_WORDS = frozenset("menu home help settings privacy login logout signin sign trash albums sharing share save print next prev previous storage full rights cookies terms contact search subscribe copyright imprint skip reserved all in".split())
 
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-_SPACE = re.compile(r"\s")
 _KANA = re.compile(r"[぀-ヿ]")
 _CJK = re.compile(r"[㐀-鿿豈-﫿]")
 _VOWEL = re.compile(r"[aeiouyáàâäéèêëíìîïóòôöúùûüåæøœAEIOUY]")
@@ -87,29 +86,33 @@ def _fields(line: str, cut: list[str], known: float) -> bool:
     return len(cut) >= 3 and sum(len(x.split()) for x in cut) <= 3.5 * len(cut) and known < 0.3
 
 
-def _line_kind(line: str, words: list[str], known: float, menu: float) -> str:
-    """What the structure of one line says beyond doubt; `open` where it says nothing."""
+# What is counted in each line and summed for the document: none of these can reach over the end of a line.
+# Each with a sign without which there is nothing to look for (False: only outside ASCII).
+_COUNTED = ((_KANA, False), (_CJK, False), (_ODD, False), (_ODD_LEAD, False), (_FILE, "."), (_TAG, "#"), (_CELL, "<"), (_HEX, ""), (_GAP, "  "))
+
+
+def _line_kind(line: str, words: list[str], known: float, menu: float, counted: list[int]) -> str:
+    """What the structure of one line says beyond doubt; `open` where it says nothing. counted: of _COUNTED in the line."""
     size, n = len(line), len(words)
-    solid = max(1, size - len(_SPACE.findall(line)))
-    if len(_CELL.findall(line)) >= 3 or _RULE.match(line) and "|" in line:
+    kana, ideographs, odd_signs, odd_leads, files, tags, cells, hexes, _ = counted
+    tokens = line.split()
+    solid = max(1, sum(map(len, tokens)))
+    if cells >= 3 or _RULE.match(line) and "|" in line:
         return "table"
-    cjk = len(_KANA.findall(line)) + len(_CJK.findall(line))
+    cjk = kana + ideographs
     if cjk > 0.3 * solid:
         return "prose" if _CJK_STOP.search(line) or size > 25 else "open"
     letters, digits = sum(map(str.isalpha, line)), sum(map(str.isdigit, line))
-    odd = len(_ODD.findall(line)) + len(_ODD_LEAD.findall(line))
+    odd = odd_signs + odd_leads
     if odd >= 3 and odd > 0.12 * size:
         return "junk"
-    tokens = line.split()
-    hexes = len(_HEX.findall(line))
     if len(tokens) >= 6 and (hexes >= 0.7 * len(tokens) or sum(map(str.isdigit, tokens)) >= 0.9 * len(tokens)):
         return "junk"
     longest = max(map(len, tokens), default=0)
-    if longest >= 40 and longest > 0.5 * size and not _FILE.search(line) and "," not in line and not _TAG.search(line):
+    if longest >= 40 and longest > 0.5 * size and not files and "," not in line and not tags:
         return "junk"
     if menu > 0.6 and n >= 3:
         return "junk"
-    files = len(_FILE.findall(line))
     symbols = solid - letters - digits
     if solid >= 3 and symbols > 0.5 * solid and digits < 0.1 * solid and not files:
         return "junk"
@@ -130,7 +133,6 @@ def _line_kind(line: str, words: list[str], known: float, menu: float) -> str:
         return "table"
     if files and (n <= 12 and known < 0.2 or files * 6 > n):
         return "list"
-    tags = len(_TAG.findall(line))
     if tags >= 3 and tags > 0.4 * n:
         return "list"
     for mark in (",", " / ", "/", "·", ";", "•", " - ", "|"):
@@ -151,48 +153,57 @@ def _repeated(items: list[str], span: int = 6) -> float:
     if len(items) < 3 * 3:
         return 0.0
     span = min(span, len(items) // 3)
-    phrases = [tuple(items[i : i + span]) for i in range(len(items) - span + 1)]
-    often = Counter(phrases)
-    inside, until = 0, 0
-    for i, p in enumerate(phrases):
-        if often[p] >= 3:
-            inside += i + span - max(until, i)
-            until = i + span
-    return inside / len(items)
+    ids: dict[str, int] = {}
+    numbers = np.fromiter((ids.setdefault(x, len(ids)) for x in items), dtype=np.uint64, count=len(items))
+    last = len(items) - span + 1
+    phrases = np.zeros(last, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(span):
+            phrases = phrases * np.uint64(0x9E3779B97F4A7C15) + numbers[k : last + k] + np.uint64(1)
+    _, which, times = np.unique(phrases, return_inverse=True, return_counts=True)
+    begin = np.flatnonzero(times[which] >= 3)
+    inside = np.zeros(len(items) + 1, dtype=np.int64)
+    inside[begin] += 1
+    inside[begin + span] -= 1
+    return float((inside.cumsum() > 0).sum()) / len(items)
 
 
 def statistics(text: str, common: dict[str, frozenset[str]]) -> list[float]:
     """STATISTICS of one text; all its lines, words and characters are read."""
     languages = _languages(tuple(common.items()))
     lines = [x for x in re.split(r"\r\n|\r|\n", text) if x.strip()]
-    words = _WORD.findall(text)
-    lower = [w.lower() for w in words]
-    n, size = max(1, len(words)), max(1, len(text))
-    counts = Counter(lower)
-    letters = sum(map(str.isalpha, text))
-    spaces = len(_SPACE.findall(text))
-    digits = sum(map(str.isdigit, text))
-    latin = len(_LATIN.findall(text))
-    kana, cjk = len(_KANA.findall(text)), len(_CJK.findall(text))
-    raw = text.encode("utf-8", "replace")
-    as_line = Counter(x.strip().lower() for x in lines)
-    repeated = _repeated(lower if cjk < 0.3 * size else [c for c in text if not c.isspace()])
-    tokens = text.split()
     shares = dict.fromkeys((*KINDS, "open"), 0)
-    short = bullets = pairs = ends = any_ends = 0
-    listy = []
+    short = bullets = pairs = ends = 0
+    listy, words, lower = [], [], []
+    sums = [0] * len(_COUNTED)
     for line in lines:
-        own = [w.lower() for w in _WORD.findall(line)]
+        found = _WORD.findall(line)
+        own = [w.lower() for w in found]
+        words += found
+        lower += own
+        ascii_only = line.isascii()
+        counted = [len(p.findall(line)) if (sign in line if sign is not False else not ascii_only) else 0 for p, sign in _COUNTED]
+        sums = [a + b for a, b in zip(sums, counted)]
         menu = sum(w in MENU_WORDS for w in own) / len(own) if own else 0.0
-        kind = _line_kind(line, own, _known(own, languages), menu)
+        kind = _line_kind(line, own, _known(own, languages), menu, counted)
         short += len(own) <= 5
         bullets += bool(_BULLET.match(line))
         pairs += bool(_PAIR.match(line))
         ends += bool(_SENTENCE_END.search(line))
-        any_ends += bool(_ANY_END.search(line))
         if kind == "open" and len(own) <= 6:
             listy.append(len(line))
         shares[kind] += len(line)
+    _, _, odd_signs, odd_leads, file_hits, tags, cells, hexes, gaps = sums
+    n, size = max(1, len(words)), max(1, len(text))
+    counts = Counter(lower)
+    chars = Counter(text)
+    share_of = lambda has: sum(c for x, c in chars.items() if has(x))
+    letters, spaces, digits, upper = share_of(str.isalpha), share_of(str.isspace), share_of(str.isdigit), share_of(str.isupper)
+    latin, vowels, kana, cjk = (share_of(p.match) for p in (_LATIN, _VOWEL, _KANA, _CJK))
+    raw = text.encode("utf-8", "replace")
+    as_line = Counter(x.strip().lower() for x in lines)
+    repeated = _repeated(lower if cjk < 0.3 * size else [c for c in text if not c.isspace()])
+    tokens = text.split()
     # short lines that say nothing alone are a list when there are many of them and they are not pieces of sentences
     wrapped = len(lines) > 1 and sum(1 for a, b in zip(lines, lines[1:]) if b[:1].islower() and not _ANY_END.search(a) and len(a) > 24) / (len(lines) - 1)
     if len(listy) >= 3 and not wrapped > 0.4:
@@ -204,7 +215,6 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> list[float]:
             shares["junk"] += shares[kind]
             shares[kind] = 0
     total = max(1, sum(shares.values()))
-    file_hits = len(_FILE.findall(text))
     return [
         math.log1p(len(words)),
         sum(map(len, words)) / n,
@@ -214,12 +224,12 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> list[float]:
         math.log1p(len(text)),
         math.log1p(len(lines)),
         digits / size,
-        sum(map(str.isupper, text)) / max(1, letters),
+        upper / max(1, letters),
         spaces / size,
         letters / size,
         kana / size,
         cjk / size,
-        len(_VOWEL.findall(text)) / max(1, latin),
+        vowels / max(1, latin),
         math.log1p(max(map(len, words), default=0)),
         sum(len(w) > 18 for w in words) / n,
         len(counts) / n,
@@ -234,14 +244,14 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> list[float]:
         text.count("|") / n,
         text.count(";") / n,
         text.count(",") / n,
-        len(_GAP.findall(text)) / n,
-        len(_CELL.findall(text)) / n,
+        gaps / n,
+        cells / n,
         pairs / max(1, len(lines)),
         file_hits / n,
-        len(_TAG.findall(text)) / n,
-        (len(_ODD.findall(text)) + len(_ODD_LEAD.findall(text))) / size,
+        tags / n,
+        (odd_signs + odd_leads) / size,
         len(_BROKEN.findall(_MARKUP.sub(" ", text))) / n,
-        len(_HEX.findall(text)) / max(1, len(tokens)),
+        hexes / max(1, len(tokens)),
         furniture,
         sum(w[:1].isupper() for w in words) / n,
         *[shares[k] / total for k in KINDS],
@@ -251,8 +261,9 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> list[float]:
 def document_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, one DOUBLE column for each of STATISTICS): counts are logarithms of one more, the others rates and shares.
 
-    Null, empty and blank texts have all statistics 0. Nothing is shuffled but tables of fewer partitions than cores. common_words(word) is a fixed list of a few hundred
-    words and is sent to the tasks; of a list of more than 100,000 the most frequent (by rank_no) are used.
+    Null, empty and blank texts have all statistics 0. Nothing is shuffled but tables of fewer partitions than cores.
+    common_words(lang, word, rank_no) is a fixed list of a few hundred words and is sent to the tasks; of a list of more than
+    100,000 the most frequent (by rank_no) are used.
     """
     known = common_words.where("word is not null").orderBy("rank_no", "word").limit(100_000)
     by_lang: dict[str, set[str]] = {}
