@@ -249,11 +249,20 @@ def verify_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.verdict(verify_counts(spark, sf_dir))
 
 
-def tag_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tags that each sidecar document puts into its file."""
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.coalesce("ref.path", "ref.entry")
     rows = table(spark, sf_dir, "sidecar_docs").select(F.col("sidecar_id").alias("id"), S.inner_name(P.base_name(at)).alias("name"), "raw")
-    return tags.tag_plan(rows, now=NOW).where("not startswith(tag, 'GPS')")
+    return tags.tag_plan(rows, now=NOW)
+
+
+def tag_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags that each sidecar document puts into its file, without those of places, which are in gps_tags."""
+    return _tags(spark, sf_dir).where("not startswith(tag, 'GPS')")
+
+
+def gps_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags of places that each sidecar document puts into its file, as numbers: the same number may be written in several ways."""
+    return _tags(spark, sf_dir).where("startswith(tag, 'GPS')").select("id", "tag", F.col("value").try_cast("double").alias("value"))
 
 
 def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,6 +301,6 @@ QUERIES = {
         sidecar_orphans, sidecar_global_match, sidecar_choice, content_winners, dedup_summary, sidecar_names, sidecar_dates, exif_dates, date_waterfall,
         media_types, extension_mismatches, motion_clips, placement_paths, collision_numbers, resume_pending, outcome_counters, set_operations,
         neardup_pairs, neardup_groups, neardup_histogram, pair_components, keep_suggestions, groups_still_there, removal_moves, verify_counts,
-        verify_verdict, tag_plan, path_functions, human_sizes, warning_tally, refolder_by_year, sample_50,
+        verify_verdict, tag_plan, gps_tags, path_functions, human_sizes, warning_tally, refolder_by_year, sample_50,
     )
 }

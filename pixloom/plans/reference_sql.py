@@ -200,6 +200,14 @@ SQL = {
           UNION ALL SELECT id, 'XMP-iptcExt:PersonInImage', unnest(json_extract_string(j, '$.people[*].name')) FROM g WHERE NOT v
           UNION ALL SELECT id, unnest(['QuickTime:CreateDate', 'QuickTime:ModifyDate', 'TrackCreateDate', 'TrackModifyDate', 'MediaCreateDate', 'MediaModifyDate']), t FROM g WHERE v
           UNION ALL SELECT id, 'QuickTime:Description', c FROM g WHERE v) WHERE value IS NOT NULL""",
+    "gps_tags": f"""WITH {_DOCS.strip()}, nm AS (SELECT sidecar_id AS id, regexp_extract(CASE WHEN ref.kind = 'dir' THEN ref.path ELSE ref.entry END, '([^/]*)$', 1) AS json FROM sidecar_docs),
+        vid AS (SELECT id, regexp_matches(lower(regexp_replace(left(json, length(json) - 5), '(\\.supplemental-metadata|\\.s(u(p(p(l(e(m(e(n(t(a(l(-(m(e(t(a(d(at?)?)?)?)?)?)?)?)?)?)?)?)?)?)?)?)?)?)?|\\.)$', '')), '\\.(mp4|mov|avi|mkv|m4v|3gp|wmv)$') AS v FROM nm),
+        g AS (SELECT doc.sidecar_id AS id, TRY_CAST(json_extract_string(j, '$.geoData.latitude') AS DOUBLE) AS lat, TRY_CAST(json_extract_string(j, '$.geoData.longitude') AS DOUBLE) AS lon,
+            TRY_CAST(json_extract_string(j, '$.geoData.altitude') AS DOUBLE) AS alt FROM doc JOIN vid ON doc.sidecar_id = vid.id WHERE NOT v)
+        SELECT id, tag, value FROM (
+          SELECT id, unnest(['GPSLatitude', 'GPSLatitudeRef']) AS tag, lat AS value FROM g
+          UNION ALL SELECT id, unnest(['GPSLongitude', 'GPSLongitudeRef']), lon FROM g
+          UNION ALL SELECT id, 'GPSAltitude', alt FROM g) WHERE value <> 0""",
     "path_functions": f"""WITH c AS (SELECT *, {_PLACE} AS place FROM copies), p AS (SELECT *, {_PARENT.format(p='place')} AS parent, replace(zip, '/srv/import/', '') AS zrel FROM c), a AS (SELECT *, {_ALBUM.format(a='parent')} AS album FROM p),
         f AS (SELECT *, regexp_replace(trim(regexp_replace(album, '[<>:"/\\\\|?*]', '_', 'g')), '[. ]+$', '') AS clean FROM a)
         SELECT scan_ord, CASE WHEN clean = '' THEN '_album' ELSE clean END AS album_folder,
