@@ -16,7 +16,7 @@ from pixloom.operators.albums import album_links
 from pixloom.operators.winners import album_manifest, dedup_summary, select_winners
 from pixloom.session import materialise
 from pixloom.sources.files import scan
-from pixloom.sources.probe import probe
+from pixloom.sources.probe import probe, probe_entries
 
 
 @dataclass(frozen=True)
@@ -29,12 +29,13 @@ class Options:
     albums: str = "link"  # link, copy, manifest, none
 
 
-def decide(copies: DataFrame, orphans: DataFrame, docs: DataFrame, embedded: DataFrame, options: Options = Options()) -> DataFrame:
+def decide(copies: DataFrame, orphans: DataFrame, docs: DataFrame, embedded: DataFrame, options: Options = Options(), chosen: DataFrame | None = None) -> DataFrame:
     """One row per content: outcome, folder, final_name, sidecar, source (a record id) and what it was decided from.
 
     embedded(path, original, created, duration) holds what the files themselves say, by record id.
+    chosen is what select_winners gives, if that is at hand.
     """
-    chosen = select_winners(copies, orphans, docs)
+    chosen = select_winners(copies, orphans, docs) if chosen is None else chosen
     types = copies.where("sha256 is not null").groupBy(F.lower("sha256").alias("sha256")).agg(F.max("true_ext").alias("true_ext"))
     texts = docs.select(ref_id("ref").alias("sidecar"), "raw")
     rows = chosen.join(types, "sha256", "left").join(texts, "sidecar", "left").join(embedded.withColumnRenamed("path", "place"), "place", "left")
@@ -66,16 +67,24 @@ def decide(copies: DataFrame, orphans: DataFrame, docs: DataFrame, embedded: Dat
     return placement.number_names(rows, ["scan_ord"], name="out_name")
 
 
+def undated(chosen: DataFrame, docs: DataFrame, options: Options = Options()) -> DataFrame:
+    """(path): the record ids of the winners without a plausible date in a sidecar, own or recovered, which the files must tell."""
+    dated = docs.where(D.sidecar_date(F.col("raw"), options.min_year, options.max_year).isNotNull()).select(ref_id("ref").alias("sidecar"))
+    return chosen.join(dated, "sidecar", "left_anti").select(F.col("place").alias("path")).distinct()
+
+
 def run(spark: SparkSession, source: str, output: str, options: Options = Options(), dry_run: bool = False) -> dict[str, DataFrame]:
     """Scan source, decide, place under output and check. dry_run stops after the decisions. source is never written."""
     copies, orphans, docs, errors = scan(spark, source)
     copies, docs = materialise(copies, "copies"), materialise(docs, "docs")
     orphans = materialise(orphans, "orphans")
     loose = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.*").load(source).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
-    wanted = copies.where("sidecar is null and src = 'dir'").select("path").distinct()
-    embedded = materialise(probe(loose.join(wanted, "path", "left_semi")), "probe")
-    plan = materialise(decide(copies, orphans, docs, embedded, options), "plan")
-    summary = dedup_summary(select_winners(copies, orphans, docs))
+    chosen = materialise(select_winners(copies, orphans, docs), "winners")
+    wanted = materialise(undated(chosen, docs, options), "undated")
+    packed = wanted.where(F.col("path").rlike(r"(?i)\.zip::"))
+    embedded = materialise(probe(loose.join(wanted, "path", "left_semi")).unionByName(probe_entries(packed)), "probe")
+    plan = materialise(decide(copies, orphans, docs, embedded, options, chosen), "plan")
+    summary = dedup_summary(chosen)
     out = {"plan": plan, "summary": summary, "errors": errors, "tags": tags.tag_plan(plan.select(F.col("sha256").alias("id"), F.col("out_name").alias("name"), "raw"), options.min_year)}
     if dry_run:
         return out

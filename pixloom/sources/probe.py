@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import mmap
+import shutil
 import struct
+import tempfile
+import zipfile
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from pixloom.session import spread
+
 # TIFF tags, and the distance of the movie epoch (1904) from 1970 in seconds.
 TAG_EXIF, TAG_ORIGINAL, TAG_DIGITIZED = 0x8769, 0x9003, 0x9004
 MOVIE_EPOCH = 2_082_844_800
+PROBED = "path string, original string, created string, duration double"
 
 
 def _ifd(data: bytes, at: int, order: str, wanted: dict[int, str], out: dict[str, str]) -> int:
@@ -91,6 +98,50 @@ def read_tags(data: bytes | None) -> dict[str, object]:
     return {}
 
 
+def _read_entry(archive: zipfile.ZipFile, entry: str) -> dict[str, object]:
+    """The tags of an entry, which lies on disk and not in memory meanwhile: archives hold long movies."""
+    with archive.open(entry) as src, tempfile.TemporaryFile() as staged:
+        shutil.copyfileobj(src, staged)
+        staged.flush()
+        if not staged.tell():
+            return {}
+        with mmap.mmap(staged.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            return read_tags(data)
+
+
+def probe_entries(places: DataFrame) -> DataFrame:
+    """places(path) of `archive::entry` -> what probe gives for files. Archives must lie in a folder that all executors share.
+
+    An archive is opened once for each run of rows that name it. Entries that cannot be read have nulls.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, archive = None, None
+        for batch in batches:
+            tags = []
+            for place in batch["path"]:
+                at, entry = place.split("::", 1)
+                try:
+                    if at != name:
+                        if archive:
+                            archive.close()
+                        name, archive = None, None
+                        archive = zipfile.ZipFile(at)
+                        name = at
+                    tags.append(_read_entry(archive, entry))
+                except Exception:  # noqa: BLE001 - as a file that says nothing
+                    tags.append({})
+            yield _rows(batch, tags)
+        if archive:
+            archive.close()
+
+    return spread(places.select("path")).sortWithinPartitions("path").mapInPandas(read, PROBED)
+
+
+def _rows(batch: pd.DataFrame, tags: list[dict[str, object]]) -> pd.DataFrame:
+    return pd.DataFrame({"path": batch["path"], "original": [t.get("original") for t in tags], "created": [t.get("created") for t in tags], "duration": pd.Series([t.get("duration") for t in tags], dtype="float64", index=batch.index)})
+
+
 def probe(files: DataFrame) -> DataFrame:
     """files(path, content) -> (path, original, created, duration): one row per file, nulls for what cannot be read.
 
@@ -99,7 +150,6 @@ def probe(files: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            tags = [read_tags(c) for c in batch["content"]]
-            yield pd.DataFrame({"path": batch["path"], "original": [t.get("original") for t in tags], "created": [t.get("created") for t in tags], "duration": pd.Series([t.get("duration") for t in tags], dtype="float64", index=batch.index)})
+            yield _rows(batch, [read_tags(c) for c in batch["content"]])
 
-    return files.select("path", "content").mapInPandas(read, "path string, original string, created string, duration double")
+    return files.select("path", "content").mapInPandas(read, PROBED)
