@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import filecmp
+import hashlib
 import os
 import shutil
 import zipfile
@@ -10,13 +12,29 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from pixloom.session import spread
+
+CHUNK = 1 << 20
+
+
+def _same(source: str, target: str) -> bool:
+    """Whether the target holds what the source does; a source that is gone was moved before."""
+    if "::" not in source:
+        return not os.path.exists(source) or filecmp.cmp(source, target, shallow=False)
+    archive, entry = source.split("::", 1)
+    with zipfile.ZipFile(archive) as z, z.open(entry) as a, open(target, "rb") as b:
+        while (x := a.read(CHUNK)) == b.read(CHUNK):
+            if not x:
+                return True
+    return False
+
 
 def _put(source: str, target: str, action: str) -> str:
     os.makedirs(os.path.dirname(target), exist_ok=True)
-    if os.path.exists(target):
-        return "present"
     part = f"{target}.part-{os.getpid()}"
     try:
+        if os.path.exists(target):
+            return "present" if _same(source, target) else "failed: the target holds something else"
         if "::" in source:
             archive, entry = source.split("::", 1)
             with zipfile.ZipFile(archive) as z, z.open(entry) as src, open(part, "wb") as dst:
@@ -39,7 +57,7 @@ def carry_out(plan: DataFrame, root: str) -> DataFrame:
     """plan(source, rel_path, action) -> (rel_path, outcome): copies, links or moves each source to root/rel_path.
 
     The plan must be a written table. root must be a folder that all executors share. Sources are left as they are unless the
-    action is move; a target that exists is kept.
+    action is move; a target that exists is kept: it is present if it holds the same bytes, else the row has failed.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,3 +65,33 @@ def carry_out(plan: DataFrame, root: str) -> DataFrame:
             yield pd.DataFrame({"rel_path": b["rel_path"], "outcome": [_put(s, os.path.join(root, r), a) for s, r, a in zip(b["source"], b["rel_path"], b["action"])]})
 
     return plan.select("source", "rel_path", "action").mapInPandas(work, "rel_path string, outcome string")
+
+
+def files_in(folders: DataFrame, root: str) -> DataFrame:
+    """folders(folder) -> (folder, name) of the files that lie in root/folder itself; no content is read."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for folder in b["folder"]:
+                at = os.path.join(root, folder)
+                names = [e.name for e in os.scandir(at) if e.is_file()] if os.path.isdir(at) else []
+                yield pd.DataFrame({"folder": [folder] * len(names), "name": names}, dtype="object")
+
+    return folders.where("folder is not null").select("folder").distinct().mapInPandas(work, "folder string, name string")
+
+
+def hashed(files: DataFrame, root: str) -> DataFrame:
+    """files(folder, name) -> (folder, name, sha256) of what lies below root; null for what cannot be read."""
+
+    def digest(path: str) -> str | None:
+        try:
+            with open(path, "rb") as f:
+                return hashlib.file_digest(f, "sha256").hexdigest()
+        except OSError:
+            return None
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(sha256=[digest(os.path.join(root, f, n)) for f, n in zip(b["folder"], b["name"])])
+
+    return spread(files.select("folder", "name")).mapInPandas(work, "folder string, name string, sha256 string")

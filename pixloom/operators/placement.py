@@ -62,6 +62,43 @@ def number_names(plan: DataFrame, order: list[str], folder: str = "folder", name
     return alone.unionByName(repeated.drop("_family", "_n", "_one", "_k")).unionByName(shared.groupBy(folder, "_family").applyInPandas(settle, alone.schema))
 
 
+def _numbered(names: DataFrame) -> DataFrame:
+    """names(folder, name) with parent and k: each name as itself, and as what it is the number k of, if it ends in a number."""
+    stem, ext = P.stem(F.col("name")), P.suffix(F.col("name"))
+    k = F.regexp_extract(stem, r"(?s)^.+_([1-9]\d*)$", 1)
+    itself = F.struct(F.col("name").alias("parent"), F.lit("").alias("k"))
+    of = F.struct(F.concat(F.left(stem, F.length(stem) - F.length(k) - 1), ext).alias("parent"), k.alias("k"))
+    return names.select("*", F.inline(F.when(k == "", F.array(itself)).otherwise(F.array(itself, of))))
+
+
+def may_be_reused(plan: DataFrame, files: DataFrame, name: str = "name") -> DataFrame:
+    """The rows of files(folder, name) that have the name of a row of plan(folder, name) or a number of it: only these need hashing."""
+    wanted = plan.select("folder", F.col(name).alias("parent")).distinct()
+    return _numbered(files).join(wanted, ["folder", "parent"], "left_semi").select("folder", "name").distinct()
+
+
+def number_beside(plan: DataFrame, files: DataFrame, hashes: DataFrame, order: list[str], name: str = "name") -> DataFrame:
+    """plan(folder, name, sha256, ...) with final_name and present, beside files(folder, name) that are there already.
+
+    A content that lies in its folder under its own name or a number of it keeps that name and is present (hashes(folder, name,
+    sha256) holds what may_be_reused picks; the lowest number is taken). The others are numbered as by number_names, as if
+    placed after all files, so none gets a name that is taken. Rows without folder keep their name. (folder, name, sha256) must be a key of plan.
+    """
+    family = lambda n: F.concat(F.regexp_replace(P.stem(n), r"(?<=.)(?:_\d+)+$", ""), P.suffix(n))
+    slim = plan.where("folder is not null").select("folder", F.col(name).alias("name"), F.lower("sha256").alias("sha256"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    held = _numbered(hashes.where("sha256 is not null")).groupBy("folder", "parent", "sha256").agg(F.min(F.struct(F.length("k"), "k", "name"))["name"].alias("there"))
+    slim = materialise(slim.join(held.withColumnRenamed("parent", "name"), ["folder", "name", "sha256"], "left"), "beside")
+    new = slim.where("there is null").drop("there").withColumn("_late", F.lit(1))
+    met = new.select("folder", family(F.col("name")).alias("_f")).distinct()
+    old = files.withColumn("_f", family(F.col("name"))).join(met, ["folder", "_f"], "left_semi")
+    old = old.select("folder", "name", F.lit("").alias("sha256"), *[F.lit(0).cast(new.schema[f"_o{i}"].dataType).alias(f"_o{i}") for i in range(len(order))], F.lit(0).alias("_late"))
+    numbered = number_names(old.unionByName(new), ["_late", *[f"_o{i}" for i in range(len(order))]]).where("_late = 1").select("folder", "name", "sha256", "final_name", F.lit(False).alias("present"))
+    kept = slim.where("there is not null").select("folder", "name", "sha256", F.col("there").alias("final_name"), F.lit(True).alias("present"))
+    found = numbered.unionByName(kept).select("folder", F.col("name").alias(name), F.col("sha256").alias("_h"), "final_name", "present")
+    rows = plan.withColumn("_h", F.lower("sha256")).join(found, ["folder", name, "_h"], "left")
+    return rows.select(*plan.columns, F.coalesce("final_name", name).alias("final_name"), F.coalesce("present", F.lit(False)).alias("present"))
+
+
 def pending(plan: DataFrame, done: DataFrame, key: str = "sha256") -> DataFrame:
     """The rows of plan whose key done does not hold: what a resumed run has still to do."""
     return plan.join(done.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixloom.effects import carry_out
+from pixloom.effects import carry_out, files_in, hashed
 from pixloom.functions import dates as D
 from pixloom.functions import filetypes as T
 from pixloom.functions.records import ref_id
 from pixloom.operators import motion, placement, tags, verify
-from pixloom.operators.albums import album_links
+from pixloom.operators.albums import album_names
 from pixloom.operators.winners import album_manifest, dedup_summary, select_winners
 from pixloom.session import materialise
 from pixloom.sources.files import scan
@@ -29,8 +29,8 @@ class Options:
     albums: str = "link"  # link, copy, manifest, none
 
 
-def decide(copies: DataFrame, orphans: DataFrame, docs: DataFrame, embedded: DataFrame, options: Options = Options(), chosen: DataFrame | None = None) -> DataFrame:
-    """One row per content: outcome, folder, final_name, sidecar, source (a record id) and what it was decided from.
+def outcomes(copies: DataFrame, orphans: DataFrame, docs: DataFrame, embedded: DataFrame, options: Options = Options(), chosen: DataFrame | None = None) -> DataFrame:
+    """One row per content: outcome, folder, out_name, sidecar, source (a record id) and what it was decided from.
 
     embedded(path, original, created, duration) holds what the files themselves say, by record id.
     chosen is what select_winners gives, if that is at hand.
@@ -63,8 +63,19 @@ def decide(copies: DataFrame, orphans: DataFrame, docs: DataFrame, embedded: Dat
         .when(F.col("outcome") == "motion", F.lit("motion"))
         .otherwise(placement.dest_folder(F.col("bucket"), F.col("out_name"), F.col("day.year"), F.col("day.month")))
     )
-    rows = rows.withColumn("folder", folder).select("sha256", "scan_ord", "outcome", "folder", "out_name", F.col("place").alias("source"), "sidecar", "recovered", "albums", "n_copies", "raw")
-    return placement.number_names(rows, ["scan_ord"], name="out_name")
+    return rows.withColumn("folder", folder).select("sha256", "scan_ord", "outcome", "folder", "out_name", F.col("place").alias("source"), "sidecar", "recovered", "albums", "n_copies", "raw")
+
+
+def beside(rows: DataFrame, output: str, order: list[str], name: str) -> DataFrame:
+    """rows(folder, name, sha256, ...) with final_name and present, with regard to the files that lie in the folders of output already."""
+    files = materialise(files_in(rows, output), "files")
+    hashes = materialise(hashed(placement.may_be_reused(rows, files, name), output), "hashes")
+    return placement.number_beside(rows, files, hashes, order, name)
+
+
+def effects(rows: DataFrame, output: str) -> DataFrame:
+    """(rel_path, outcome) of rows(source, rel_path, action, present): what is present is left alone, the others are carried out."""
+    return carry_out(rows.where("not present"), output).unionByName(rows.where("present").select("rel_path", F.lit("present").alias("outcome")))
 
 
 def undated(chosen: DataFrame, docs: DataFrame, options: Options = Options()) -> DataFrame:
@@ -83,21 +94,23 @@ def run(spark: SparkSession, source: str, output: str, options: Options = Option
     wanted = materialise(undated(chosen, docs, options), "undated")
     packed = wanted.where(F.col("path").rlike(r"(?i)\.zip::"))
     embedded = materialise(probe(loose.join(wanted, "path", "left_semi")).unionByName(probe_entries(packed)), "probe")
-    plan = materialise(decide(copies, orphans, docs, embedded, options, chosen), "plan")
+    plan = materialise(outcomes(copies, orphans, docs, embedded, options, chosen), "outcomes")
+    plan = materialise(beside(plan, output, ["scan_ord"], "out_name"), "plan")
     summary = dedup_summary(chosen)
     out = {"plan": plan, "summary": summary, "errors": errors, "tags": tags.tag_plan(plan.select(F.col("sha256").alias("id"), F.col("out_name").alias("name"), "raw"), options.min_year)}
     if dry_run:
         return out
-    moves = plan.where("folder is not null").select("source", F.concat_ws("/", "folder", "final_name").alias("rel_path"), F.lit("copy").alias("action"))
-    out["effects"] = materialise(carry_out(moves, output), "effects")
+    moves = plan.where("folder is not null").select("source", F.concat_ws("/", "folder", "final_name").alias("rel_path"), F.lit("copy").alias("action"), "present")
+    out["effects"] = materialise(effects(moves, output), "effects")
     there = out["effects"].where("not startswith(outcome, 'failed')")
     placed = plan.where("outcome = 'placed'").withColumn("rel_path", F.concat_ws("/", "folder", "final_name"))
     files = there.join(placed.select("rel_path"), "rel_path", "left_semi")
     out["checks"] = verify.count_checks(copies, placed, files).unionByName(verify.undated_check(files))
     out["verdict"] = verify.verdict(out["checks"])
     if options.albums in ("link", "copy"):
-        links = materialise(album_links(placed, output).withColumn("action", F.lit(options.albums)), "links")
-        out["album_effects"] = materialise(carry_out(links, output), "album_effects")
+        links = materialise(beside(materialise(album_names(placed, output), "names"), output, ["sha256"], "name"), "links")
+        links = links.select("source", F.concat_ws("/", "folder", "final_name").alias("rel_path"), F.lit(options.albums).alias("action"), "present")
+        out["album_effects"] = materialise(effects(links, output), "album_effects")
     if options.albums != "none":
         out["albums"] = album_manifest(placed.select("albums", F.col("rel_path").alias("place")))
     return out

@@ -39,3 +39,42 @@ def test_dates_are_read_wherever_the_sidecar_has_none(spark, tmp_path):
         "CLIP.mp4": ("placed", "final/videos/2020/09"),
         "EMPTY.jpg": ("errored", "errors"),
     }
+
+
+def test_another_export_into_the_same_library(spark, tmp_path):
+    out = tmp_path / "out"
+
+    def export(name, files):
+        src = tmp_path / name
+        src.mkdir()
+        with zipfile.ZipFile(src / "part.zip", "w") as z:
+            for folder, file, tag in files:
+                z.writestr(f"{folder}/{file}", jpeg(tag, "2015:06:01 10:00:00"))
+        return run(spark, str(src), str(out))
+
+    def held(where):
+        return sorted((p.name, p.read_bytes().split(b"\0")[-1]) for p in (out / where).iterdir())
+
+    export("one", [("B", "A.jpg", "first"), ("C", "A.jpg", "second"), ("B", "_X.jpg", "x")])
+    first = held("final/photos/2015/06")
+    assert [n for n, _ in first] == ["A.jpg", "A_1.jpg", "_X.jpg"]
+    # other contents of equal names, one that is there under a number, and one that takes the number's name
+    done = export("two", [("A", "A.jpg", "third"), ("B", "A.jpg", "second"), ("B", "A_1.jpg", "fourth"), ("B", "_X.jpg", "y")])
+    after = held("final/photos/2015/06")
+    assert [n for n, _ in after] == ["A.jpg", "A_1.jpg", "A_1_1.jpg", "A_2.jpg", "_X.jpg", "_X_1.jpg"] and set(first) < set(after)
+    assert {r.final_name: r.present for r in done["plan"].collect()} == {"A_2.jpg": False, "A_1.jpg": True, "A_1_1.jpg": False, "_X_1.jpg": False} and done["verdict"].first().safe
+    contents = lambda where: {c for _, c in held(where)}
+    assert len(contents("final/photos/2015/06")) == 6 and len(contents("Albums/B")) == 5
+    again = run(spark, str(tmp_path / "two"), str(out))
+    assert {r.outcome for r in again["effects"].collect()} == {"present"} == {r.outcome for r in again["album_effects"].collect()}
+    assert held("final/photos/2015/06") == after
+
+
+def test_effects_do_not_take_other_contents_for_present(spark, tmp_path):
+    from pixloom.effects import carry_out
+
+    for name, text in (("a", "new"), ("b", "same"), ("out_a", "old"), ("out_b", "same")):
+        (tmp_path / name).write_text(text)
+    plan = spark.createDataFrame([(str(tmp_path / n), f"out_{n}", "copy") for n in "ab"], "source string, rel_path string, action string")
+    got = {r.rel_path: r.outcome for r in carry_out(plan, str(tmp_path)).collect()}
+    assert got["out_b"] == "present" and got["out_a"].startswith("failed") and (tmp_path / "out_a").read_text() == "old"
