@@ -15,7 +15,7 @@ import html
 import math
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +37,9 @@ ITEM_BLOCK, BLOCK_CHARS = 2_000, 20_000_000
 LEAST_WORDS = 20
 EDIT_COST = 5
 EDITS_PER_WORD = 1 / 7
+WORDS_PER_EDIT = 8
+EDGE = 16
+FEWEST_MATCHED = min(LEAST_WORDS - LEAST_WORDS // WORDS_PER_EDIT, math.ceil(LEAST_WORDS * (1 - EDITS_PER_WORD)))
 
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,200}>")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\([nrt])")
@@ -98,10 +101,63 @@ def best_alignment(passage: list[str], item: list[str]) -> tuple[int, int, int]:
     return best[1:]
 
 
+def longest_stretch(passage: list[str], item: list[str], most: int | None = None) -> int:
+    """Most words matched in a stretch of LEAST_WORDS or more of the item that the passage has in order with one edit in
+    WORDS_PER_EDIT words at most, wherever the edits lie; 0 if there is none. most: look for any stretch
+    with so many edits at most, and stop at the first.
+
+    Exact: for each number of edits, the longest stretch that ends at each pair of words.
+    """
+    n = len(item)
+    edits = n // WORDS_PER_EDIT if most is None else min(most, n // WORDS_PER_EDIT)
+    number = {w: i for i, w in enumerate(set(item))}
+    own = np.array([number[w] for w in item])
+    one = 1 << 24  # a value is the item words of a stretch times this, and those that match
+    none = -(1 << 50)
+    least = np.maximum(LEAST_WORDS, WORDS_PER_EDIT * np.arange(edits + 1))[:, None] * one
+    before = np.full((edits + 1, n + 1), none, dtype=np.int64)
+    before[0] = 0
+    for e in range(1, edits + 1):
+        before[e, 1:] = before[e - 1, :-1] + one
+    best = 0
+    for word in passage:
+        now = np.full_like(before, none)
+        if word in number:
+            now[:, 1:] = np.where(own == number[word], before[:, :-1] + (one + 1), none)
+        now[0] = np.maximum(now[0], 0)
+        if edits:
+            np.maximum(now[1:, 1:], before[:-1, :-1] + one, out=now[1:, 1:])  # changed
+            np.maximum(now[1:], before[:-1], out=now[1:])  # added
+            for e in range(1, edits + 1):
+                np.maximum(now[e, 1:], now[e - 1, :-1] + one, out=now[e, 1:])  # dropped
+        whole = now[now >= least]
+        if whole.size:
+            if most is not None:
+                return int((whole % one).max())
+            best = max(best, int((whole % one).max()))
+        before = now
+    return best
+
+
 def reproduces(passage: list[str], item: list[str]) -> tuple[bool, float]:
-    """Whether a passage reproduces enough of the item with few edits, and the share of the item's words that it has."""
+    """Whether a passage reproduces enough of the item with few edits, and the share of the item's words that it has.
+
+    A stretch of twice LEAST_WORDS can be halved so that one half has no more edits a word than the whole, so whether there is
+    any stretch shows at fewer than that many words already. What the best-scoring stretch has is enough too, as its ends are cut.
+    """
     m, e, span = best_alignment(passage, item)
-    return span >= LEAST_WORDS and m >= LEAST_WORDS * (1 - EDITS_PER_WORD) and e <= max(1, math.ceil(span * EDITS_PER_WORD)), m / max(1, len(item))
+    leaks = span >= LEAST_WORDS and m >= LEAST_WORDS * (1 - EDITS_PER_WORD) and e <= max(1, math.ceil(span * EDITS_PER_WORD))
+    if leaks and m == common(passage, item):
+        return True, m / len(item)
+    if leaks or longest_stretch(passage, item, (2 * LEAST_WORDS - 1) // WORDS_PER_EDIT):
+        k = longest_stretch(passage, item)
+        leaks, m = True, max(k, m) if leaks else k
+    return leaks, m / max(1, len(item))
+
+
+def common(passage: list[str], item: list[str]) -> int:
+    """How many words they share in any order: no alignment can match more."""
+    return (Counter(passage) & Counter(item)).total()
 
 
 @dataclass
@@ -178,7 +234,10 @@ class Index:
             own, best = self.words[item], 0.0
             near = {k for k in (_key(own, i) for i in range(len(own) - SHINGLE + 1))}
             for first, last in _stretches([i for i, k in hits if k in near and any(a <= i < b for a, b in parts)], len(own)):
-                leaks, share = reproduces(words[max(0, first - 2 * SHINGLE) : last + 3 * SHINGLE], own)
+                part = words[max(0, first - EDGE) : last + EDGE]
+                if common(part, own) < FEWEST_MATCHED:
+                    continue
+                leaks, share = reproduces(part, own)
                 if leaks:
                     best = max(best, share)
             if best:
@@ -205,7 +264,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(id, item, share): each document with each item it leaks, and the greatest share of the item's words in one passage.
 
     A document leaks an item if a passage reproduces LEAST_WORDS (20) or more of its words in order with at most one in seven of
-    them changed, dropped or added (one in eight, and one more for the passage's ends). Null and empty texts leak nothing, items
+    them changed, dropped or added (one in eight wherever they lie, and one more for a passage whose ends are whole). Null and empty texts leak nothing, items
     of fewer than 20 words cannot be leaked; a document that occurs twice gives its rows once; rows without id are ignored, and so are
     other columns.
 
