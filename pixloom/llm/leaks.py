@@ -4,7 +4,8 @@ Held-out items are cut into overlapping windows, the short sets that are searche
 shingles that occur in any item at all: leaving out the others changes no window's containment and makes the sets small. Long
 documents are cut into overlapping passages of such shingles, so that a window lies whole in one passage, and passages fall into
 partitions by their size. For each partition the least containment is turned into the least Jaccard similarity at its largest
-size, and so many MinHash values are compared that a window so contained is missed with probability 1/400 at most. Candidates are
+size, and so many MinHash values are compared that a window so contained is missed with probability 1/400 at most. That holds
+for windows of one size; those with fewer distinct shingles than the largest are found by each of their shingles. Candidates are
 verified by exact containment of the window's shingles and then by aligning the words: enough of the item, in its order, with few
 changed, dropped or added.
 """
@@ -173,6 +174,7 @@ class Index:
     additions: np.ndarray
     rounds: dict[int, int]
     fewest: int
+    direct: dict[int, list[int]]
 
     @classmethod
     def build(cls, items: list[tuple[int, str | None]]) -> Index:
@@ -184,7 +186,7 @@ class Index:
                 part = own[at : at + WINDOW]
                 window_item.append(item)
                 window_keys.append(frozenset(_key(part, k) for k in range(len(part) - SHINGLE + 1)))
-        # least Jaccard similarity of a window and a passage of the largest size of each partition
+        # least Jaccard similarity of a window of the largest size and a passage of the largest size of each partition
         most = max((len(k) for k in window_keys), default=1)
         rounds = {}
         for size in SIZES:
@@ -194,11 +196,15 @@ class Index:
         draw = np.random.default_rng(7)
         multipliers = draw.integers(1, 2**63, functions, dtype=np.uint64) | np.uint64(1)
         additions = draw.integers(0, 2**63, functions, dtype=np.uint64)
-        out = cls(words, window_item, window_keys, frozenset().union(*window_keys), [defaultdict(list) for _ in range(functions)], multipliers, additions, rounds, 1)
+        out = cls(words, window_item, window_keys, frozenset().union(*window_keys), [defaultdict(list) for _ in range(functions)], multipliers, additions, rounds, 1, defaultdict(list))
         for w, keys in enumerate(window_keys):
+            if len(keys) < most:
+                for k in keys:
+                    out.direct[k].append(w)
+                continue
             for r, value in enumerate(out.signature(keys, functions)):
                 out.tables[r][value].append(w)
-        out.tables = [dict(t) for t in out.tables]
+        out.tables, out.direct = [dict(t) for t in out.tables], dict(out.direct)
         out.fewest = max(1, math.ceil(LEAST_CONTAINED * min((len(k) for k in window_keys), default=1)))
         return out
 
@@ -226,6 +232,8 @@ class Index:
             candidates = set()
             for table, value in zip(self.tables, self.signature(keys, functions)):
                 candidates.update(table.get(value, ()))
+            for k in keys & self.direct.keys():
+                candidates.update(self.direct[k])
             found = {self.window_item[w] for w in candidates if len(self.window_keys[w] & keys) >= LEAST_CONTAINED * len(self.window_keys[w])}
             for item in found:
                 spans[item].append((part[0][0], part[-1][0] + SHINGLE))

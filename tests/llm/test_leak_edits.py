@@ -46,3 +46,15 @@ def test_stretches_are_those_of_all_pairs():
         seen.append(brute(a, b))
         assert (leaks.longest_stretch(a, b) > 0) == (leaks.longest_stretch(a, b, 4) > 0) == seen[-1]
     assert 20 < sum(seen) < 100
+
+
+def test_bound_of_misses_holds_for_every_window():
+    r = random.Random(5)
+    repeated = [(100 + k, " ".join([r.choice(VOCABULARY) for _ in range(n)] * 4)) for k, n in enumerate((7, 10, 12, 15))]
+    index = leaks.Index.build([*ITEMS, *repeated])
+    exact = {w for ws in getattr(index, "direct", {}).values() for w in ws}
+    for w, keys in enumerate(index.window_keys):
+        for size, rounds in index.rounds.items():
+            least = leaks.LEAST_CONTAINED / (size / len(keys) + 1 - leaks.LEAST_CONTAINED)
+            assert w in exact or (1 - least) ** rounds <= leaks.MISS
+    assert all(i in {x for x, _ in index.search(f"{item(900)} {t} {item(901)}")} for i, t in repeated)
