@@ -165,10 +165,13 @@ def offset_history(stated: DataFrame, source: Column) -> DataFrame:
         F.struct(F.lit("least").alias("kind"), F.when(seen.isNull() & least.between(-14 * 4 * step, 14 * 4 * step), least).alias("us")),
         F.struct(F.lit("asked").alias("kind"), F.when(F.col("epoch_us").isNull(), F.lit(0)).alias("us")),
     )
+    bucket = F.floor(F.col("local_us") / BUCKET_US).alias("bucket")
+    asked = stated.where("origin = 'sidecar_docs' and place is not null and local_us is not null and epoch_us is null and zone_source is null")
     votes = (
         tags.join(docs, "place", "left")
-        .select(source.alias("source"), F.floor(F.col("local_us") / BUCKET_US).alias("bucket"), F.inline(rows))
+        .select(source.alias("source"), bucket, F.inline(rows))
         .where("us is not null")
+        .unionByName(asked.select(source.alias("source"), bucket, F.lit("asked").alias("kind"), F.lit(0).cast("bigint").alias("us")))
         .groupBy("source", "bucket", "kind", (F.col("us") / 60_000_000).cast("int").alias("off"))
         .agg(F.count("*").alias("n"))
     )
@@ -179,7 +182,8 @@ def normalise_times(sidecar_docs: DataFrame, exif: DataFrame, source: Column | N
     """(origin, rec_id, field, epoch_us, zone_source): every readable time as one instant.
 
     zone_source says where the zone came from: count (a count since 1970), value, own (the field's offset column), record (tz or
-    timeZone), estimated (from the offset history of the source), or null (no zone, and none could be estimated: epoch_us null).
+    timeZone), estimated (from the offset history of the source; that of a sidecar is by its file's place), or null (no zone, and
+    none could be estimated: epoch_us null).
     Null, empty and unreadable texts, dates without time of day and impossible dates give no row; a skipped local time gives a
     row without instant. Repeated rows give repeated results; empty tables give none. Other columns of the inputs are ignored.
 
@@ -194,7 +198,7 @@ def normalise_times(sidecar_docs: DataFrame, exif: DataFrame, source: Column | N
     missing = F.col("epoch_us").isNull() & F.col("zone_source").isNull()
     filled = F.col("local_us") - F.col("est_off").cast("bigint") * 60_000_000
     return (
-        stated.withColumn("_s", F.when(missing & (F.col("origin") == "exif"), source))
+        stated.withColumn("_s", F.when(missing, source))
         .withColumn("_b", F.floor(F.col("local_us") / BUCKET_US))
         .join(history.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), "est_off"), ["_s", "_b"], "left")
         .select(

@@ -110,3 +110,13 @@ def test_partitions_do_not_matter(spark):
     df, none = spark.createDataFrame(rows, EXIF), spark.createDataFrame([], DOCS)
     a, b = (sorted(map(str, normalise_times(none, df.repartition(n)).orderBy(F.rand()).collect())) for n in (1, 5))
     assert a == b
+
+
+def test_missing_zones_of_sidecars_are_estimated_too(spark):
+    rows = [(i, f"/srv/in/lib1/{i}.jpg", f"2020:0{3 + 2 * (i % 2)}:0{1 + i} 12:00:00", None, "+02:00", None, None, None, "x") for i in range(6)]
+    said = '{"creationTime": {"formatted": "0%d.0%d.2020 10:20:30"}}'
+    docs = [(k, ("dir", f"/srv/in/{lib}/s{k}.jpg.json", None, None), said % (3, month), "x") for k, (lib, month) in enumerate((("lib1", 3), ("lib1", 4), ("lib2", 3)))]
+    times = normalise_times(spark.createDataFrame(docs, DOCS), spark.createDataFrame(rows, EXIF))
+    got = {r.rec_id: (r.epoch_us, r.zone_source) for r in times.where("origin = 'sidecar_docs'").collect()}
+    assert got == {0: (us(2020, 3, 3, 8, 20, 30), "estimated"), 1: (us(2020, 4, 3, 8, 20, 30), "estimated"), 2: (None, None)}
+    assert named_instants(times).where("origin = 'sidecar_docs'").count() == 0
