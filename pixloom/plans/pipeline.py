@@ -105,7 +105,7 @@ def run(spark: SparkSession, source: str, output: str, options: Options = Option
     there = out["effects"].where("not startswith(outcome, 'failed')")
     placed = plan.where("outcome = 'placed'").withColumn("rel_path", F.concat_ws("/", "folder", "final_name"))
     files = there.join(placed.select("rel_path"), "rel_path", "left_semi")
-    out["checks"] = verify.count_checks(copies, placed, files).unionByName(verify.undated_check(files))
+    out["checks"] = verify.count_checks(copies, placed, files).unionByName(verify.undated_check(files)).unionByName(verify.errors_check(plan.where("outcome = 'errored'")))
     out["verdict"] = verify.verdict(out["checks"])
     if options.albums in ("link", "copy"):
         links = materialise(beside(materialise(album_names(placed, output), "names"), output, ["sha256"], "name"), "links")

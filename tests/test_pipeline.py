@@ -39,6 +39,7 @@ def test_dates_are_read_wherever_the_sidecar_has_none(spark, tmp_path):
         "CLIP.mp4": ("placed", "final/videos/2020/09"),
         "EMPTY.jpg": ("errored", "errors"),
     }
+    assert [(r.metric, r.value, r.status) for r in done["checks"].where("section = 'errors'").collect()] == [("skipped", 1, "info")]
 
 
 def test_another_export_into_the_same_library(spark, tmp_path):
