@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from pixloom.functions.paths import stem, suffix
 
 # Extensions by kind, interchangeable extensions, and signatures.
-PHOTO = "jpg jpeg png gif heic heif avif bmp tiff tif webp cr2 nef arw dng orf rw2".split()
-VIDEO = "mp4 mov avi mkv m4v 3gp wmv".split()
+PHOTO = ["jpg", "jpeg", "png", "gif", "heic", "heif", "avif", "bmp", "tiff", "tif", "webp", "cr2", "nef", "arw", "dng", "orf", "rw2"]
+VIDEO = ["mp4", "mov", "avi", "mkv", "m4v", "3gp", "wmv"]
 SAME = {"jpg": ("jpg", "jpeg", "jpe"), "tif": ("tif", "tiff"), "heic": ("heic", "heif")}
-HEIC_BRANDS = "heic heix heim heis hevc hevx mif1 msf1".split()
-AVIF_BRANDS = "avif avis".split()
+HEIC_BRANDS = ["heic", "heix", "heim", "heis", "hevc", "hevx", "mif1", "msf1"]
+AVIF_BRANDS = ["avif", "avis"]
 MP4_BRANDS = ["isom", "iso2", "iso4", "iso5", "iso6", "mp41", "mp42", "mp4 ", "mp4v", "avc1", "dash", "msnv", "ndsc", "f4v ", "cmff"]
 ASF_GUID = "3026B2758E66CF11A6D900AA0062CE6C"
 HEAD_BYTES = 32

@@ -9,20 +9,24 @@ from pyspark.sql import functions as F
 NOISE = ("Error opening file", "No writable tags set", "returned undef", "not defined")
 SUMMARY = ("updated", "unchanged", "created", "weren't")
 PROGRESS = r"\[(\d+)/(\d+)\]\s*$"
+# What a line is about, by the words in it, in this order; and what is left.
+MINOR = "[minor]"
+TOPICS = [
+    (("gps",), "GPS unreadable"),
+    (("maker notes",), "maker notes unparsed"),
+    (("not yet supported",), "unsupported file type (left as-is)"),
+    (("ifd", "stripoffsets"), "corrupt EXIF structure"),
+]
+OTHER_ERRORS, OTHER_WARNINGS = "other errors", "other warnings"
 
 
 def warning_category(line: Column) -> Column:
     """What a warning or error line is about; null for minor ones."""
     low = F.lower(line)
-    return (
-        F.when(line.contains("[minor]"), None)
-        .when(low.contains("gps"), "GPS unreadable")
-        .when(low.contains("maker notes"), "maker notes unparsed")
-        .when(low.contains("not yet supported"), "unsupported file type (left as-is)")
-        .when(low.contains("ifd") | low.contains("stripoffsets"), "corrupt EXIF structure")
-        .when(line.startswith("Error"), "other errors")
-        .otherwise("other warnings")
-    )
+    topic = F.when(line.contains(MINOR), None)
+    for words, name in TOPICS:
+        topic = topic.when(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)), name)
+    return topic.when(line.startswith("Error"), OTHER_ERRORS).otherwise(OTHER_WARNINGS)
 
 
 def line_class(line: Column) -> Column:

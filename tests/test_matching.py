@@ -1,68 +1,54 @@
-"""Sidecar matching against a plain restatement of its rules, and its single cases."""
-
-import random
-import re
+"""Sidecar matching: its single cases, written out. The queries over the test tables are compared with SQL in test_entry."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from pixloom.operators.matching import choose_sidecar, match_anywhere, match_in_folder, orphan_sidecars
 
-LONG = ".supplemental-metadata"
-CUTS = [LONG[:k] for k in range(len(LONG), -1, -1)]
-
-
-def parts(name):
-    at = name.rfind(".")
-    return (name[:at], name[at:]) if 0 < at < len(name) - 1 else (name, "")
-
-
-def inner(json):
-    body = json.removesuffix(".json")
-    return next((body[: -len(c)] for c in CUTS if c and body.endswith(c)), body)
-
-
-def asked(name):
-    for c in CUTS:
-        yield name + c + ".json"
-    m = re.match(r"^(.*)(\(\d+\))(\.[^.]+)$", name)
-    if m:
-        for c in CUTS:
-            yield m[1] + m[3] + m[2] + c + ".json"
-            yield m[1] + m[3] + c + m[2] + ".json"
-
-
-def expected(name, names):
-    for a in asked(name):
-        if a in names:
-            return a
-    stem, ext = parts(name)
-    cut = [(-len(parts(inner(j))[0]), j) for j in names if j.endswith(".json") and len(parts(inner(j))[0]) >= 30 and parts(inner(j))[1].lower() == ext.lower() and stem.startswith(parts(inner(j))[0])]
-    if cut:
-        return min(cut)[1]
-    if stem.endswith("-edited"):
-        for a in asked(stem.removesuffix("-edited") + ext.lower()):
-            if a in names:
-                return a
-    return None
-
-
-def test_random_folders_agree_with_the_rules(spark):
-    random.seed(3)
-    stems = ["IMG_1", "IMG_1(1)", "a", "X" * 44, "X" * 44 + "_extra", "X" * 31, "IMG_1-edited", "a(2)-edited", "b(3)", ".supp", "s.json"]
-    media, jsons = [], []
-    for f in range(200):
-        for s in random.sample(stems, 6):
-            media.append((f"d{f}", s + random.choice([".jpg", ".JPG", ".mp4"])))
-        for s in random.sample(stems, 6):
-            e = random.choice([".jpg", ".JPG", ".mp4"])
-            jsons.append((f"d{f}", random.choice([f"{s}{e}{random.choice(CUTS)}.json", f"{s}{e}(1){random.choice(CUTS)}.json", f"{s}{e}{random.choice(CUTS)}(2).json", f"{s}.json"])))
-    got = {(r.folder, r.name): r.sidecar for r in match_in_folder(spark.createDataFrame(media, "folder string, name string"), spark.createDataFrame(jsons, "folder string, json string")).collect()}
-    want = {}
-    for f, n in media:
-        e = expected(n, {j for g, j in jsons if g == f})
-        if e:
-            want[f, n] = e
-    assert got == want and len(want) > 50
+CUT = "B" * 46  # names of this length are cut by exports
+
+# a media name, the .json files of its folder, and the one that belongs to it
+FOLDERS = [
+    ("plain", "a.jpg", ["a.jpg.json", "b.jpg.json"], "a.jpg.json"),
+    ("long ending", "a.jpg", ["a.jpg.supplemental-metadata.json"], "a.jpg.supplemental-metadata.json"),
+    ("cut ending", "a.jpg", ["a.jpg.supplemen.json"], "a.jpg.supplemen.json"),
+    ("ending cut to its dot", "a.jpg", ["a.jpg..json"], "a.jpg..json"),
+    ("longest ending first", "a.jpg", ["a.jpg.json", "a.jpg.suppl.json", "a.jpg.supplemental-metadata.json"], "a.jpg.supplemental-metadata.json"),
+    ("counter moved behind the extension", "a(1).jpg", ["a.jpg(1).json"], "a.jpg(1).json"),
+    ("counter behind the ending", "a(2).jpg", ["a.jpg.supplemental-metadata(2).json"], "a.jpg.supplemental-metadata(2).json"),
+    ("counter before the ending", "a(2).jpg", ["a.jpg(2).supplemental-metadata.json"], "a.jpg(2).supplemental-metadata.json"),
+    ("counter where it was comes first", "a(1).jpg", ["a.jpg(1).json", "a(1).jpg.json"], "a(1).jpg.json"),
+    ("another counter is another file", "a(1).jpg", ["a.jpg.json", "a.jpg(2).json"], None),
+    ("letter case of names counts", "A.jpg", ["a.jpg.json"], None),
+    ("letter case of the extension counts for plain names", "a.JPG", ["a.jpg.json"], None),
+    ("cut name", CUT + "_more.jpg", [CUT + ".jpg.json"], CUT + ".jpg.json"),
+    ("cut name, extension in any letter case", CUT + "_more.JPG", [CUT + ".jpg.json"], CUT + ".jpg.json"),
+    ("longest cut name", CUT + "_more.jpg", [CUT[:40] + ".jpg.json", CUT + ".jpg.json"], CUT + ".jpg.json"),
+    ("30 letters are enough", "C" * 33 + ".jpg", ["C" * 30 + ".jpg.json"], "C" * 30 + ".jpg.json"),
+    ("29 letters are not", "C" * 33 + ".jpg", ["C" * 29 + ".jpg.json"], None),
+    ("cut name of another type", CUT + "_more.jpg", [CUT + ".mp4.json"], None),
+    ("edited copy", "a-edited.jpg", ["a.jpg.json"], "a.jpg.json"),
+    ("edited copy, extension in lower case", "a-edited.JPG", ["a.jpg.json"], "a.jpg.json"),
+    ("edited copy with its own", "a-edited.jpg", ["a.jpg.json", "a-edited.jpg.json"], "a-edited.jpg.json"),
+    ("cut name before the original's", CUT + "-edited.jpg", [CUT + ".jpg.supplemental-metadata.json", CUT + "-edi.jpg.json"], CUT + "-edi.jpg.json"),
+    ("the mark elsewhere says nothing", "a-edited-b.jpg", ["a.jpg.json"], None),
+    ("without extension", "a", ["a.json", "a.jpg.json"], "a.json"),
+    ("no .json", "a.jpg", ["a.jpg.JSON", "a.jpg.txt"], None),
+]
+
+
+@pytest.fixture(scope="module")
+def matched(spark):
+    media = [(what, name) for what, name, _, _ in FOLDERS]
+    sidecars = [(what, j) for what, _, jsons, _ in FOLDERS for j in jsons]
+    rows = match_in_folder(spark.createDataFrame(media * 2, "folder string, name string"), spark.createDataFrame(sidecars * 2, "folder string, json string")).collect()
+    assert len(rows) == len({(r.folder, r.name) for r in rows})
+    return {r.folder: r.sidecar for r in rows}
+
+
+@pytest.mark.parametrize("what,expected", [(what, want) for what, _, _, want in FOLDERS])
+def test_folder(matched, what, expected):
+    assert matched.get(what) == expected
 
 
 def test_orphans(spark):
