@@ -1,16 +1,12 @@
 """Per-document text statistics, and the kind of each document (prose, list, table, junk) by trees trained on them.
 
-Statistics cover the whole text. Weak labels come from lines whose structure leaves no doubt; trees learn the kinds from documents
-that consist of such lines almost entirely, and carry over to mixed and unclear ones through the other statistics. Hand labels are
-never trained on: they are the holdout on which the probabilities are calibrated.
+Gradient-boosted trees see the statistics of whole documents (text_statistics) and nothing else. They are trained on a bounded
+sample of documents that weak_labels calls prose, list, table or junk by the structure of their lines; hand labels are never trained
+on, they are the holdout on which the probabilities are calibrated.
 """
 
 from __future__ import annotations
 
-import math
-import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,265 +16,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixloom.llm import boosting
+from pixloom.llm.text_statistics import STATISTICS, Lexicon, statistics
+from pixloom.llm.weak_labels import KINDS, weak_label
 from pixloom.session import materialise, spread
 
-KINDS = ("prose", "list", "table", "junk")
-WEAK_BOUND = 8_000
+WEAK_BOUND = 6_000
 HAND_BOUND = 8_000
-SURE = 0.8
+COMMON_BOUND = 100_000
+PARTS = 1_000_000
 
-STATISTICS = (
-    "words", "mean_word_length", "symbol_ratio", "line_end_share", "common_share",
-    "chars", "lines", "digit_ratio", "upper_ratio", "space_ratio", "letter_ratio", "kana_ratio", "cjk_ratio", "vowel_ratio",
-    "longest_word", "long_word_share", "distinct_share", "top_word_share", "packed_ratio", "repeated_line_share", "repeated_phrase_share",
-    "line_words", "short_line_share", "bullet_share", "tab_rate", "pipe_rate", "semicolon_rate", "comma_rate", "gap_rate", "cell_rate",
-    "pair_share", "file_share", "tag_rate", "odd_letter_ratio", "broken_word_share", "hex_share", "menu_share", "capital_share",
-    "as_prose", "as_list", "as_table", "as_junk",
-)
 
-# Words of page furniture.
-MENU_WORDS = frozenset("menu home help settings privacy login logout signin sign trash albums sharing share save print next prev previous storage full rights cookies terms contact search subscribe copyright imprint skip reserved all in".split())
-
-_WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-_KANA = re.compile(r"[぀-ヿ]")
-_CJK = re.compile(r"[㐀-鿿豈-﫿]")
-_VOWEL = re.compile(r"[aeiouyáàâäéèêëíìîïóòôöúùûüåæøœAEIOUY]")
-_LATIN = re.compile(r"[a-zA-ZÀ-ɏ]")
-_ODD = re.compile(r"[\u0080-¿ŒœŠšŸŽžƒˆ˜†-•…‰€™─-▟α-ωΑ-Ω≈≠-≥√ⁿ⌐�]")
-_ODD_LEAD = re.compile(r"[ÃÂâãäåæçèéï][\u0080-¿ŒœŠšŸŽžƒˆ˜–-‰€™]")
-_BULLET = re.compile(r"^\s*(?:[-–—*•·‣◦▪●○☐☑✓✔✗>+]|\[[ xX]?\]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+\S")
-_PAIR = re.compile(r"^\s*[^\W\d_][\w .()/-]{0,30}?\s*[:=]\s+\S[^!?。]{0,40}$|^\s*[^\W\d_][\w .-]{0,30}\s*=\s*\S{1,40}$")
-_FILE = re.compile(r"\w\.(?:jpe?g|png|gif|heic|webp|mp4|mov|avi|raw|dng|tiff?|pdf|docx?|txt|zip|json|csv)\b", re.I)
-_TAG = re.compile(r"(?:^|\s)#[^\W_][\w-]*")
-_HEX = re.compile(r"(?<!\S)(?:[0-9a-f]{2}|[0-9a-f]{6,})(?!\S)", re.I)
-_BROKEN = re.compile(r"[^\W\d_][^\w\s'’.\-/&@,:·#*_=+%()\"“”„«»!?;…<>|][^\W\d_]|[^\W\d_][!|;(){}\[\]~^»«_<>0-9][^\W\d_]|[a-zà-ÿ][A-Z0O1I][a-zà-ÿ]")
-_SENTENCE_END = re.compile(r"[.!?…。！？][\"'”»)\]]*\s*$")
-_ANY_END = re.compile(r"[.!?…。！？:;,][\"'”»)\]]*\s*$")
-_GAP = re.compile(r"\S {2,}(?=\S)")
-_CELL = re.compile(r"</?t[dhr]\b", re.I)
-_GAPS = re.compile(r"\s{2,}")
-_RULE = re.compile(r"^[\s|:+=-]+$")
-_CJK_STOP = re.compile(r"[。、！？]")
-_MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,60}>")
-
-
-@lru_cache(8)
-def _languages(common: tuple[tuple[str, frozenset[str]], ...]) -> dict[str, tuple[int, ...]]:
-    """The languages in which each word is common, by their place."""
-    out: dict[str, tuple[int, ...]] = {}
-    for i, (_, words) in enumerate(common):
-        for w in words:
-            out[w] = (*out.get(w, ()), i)
-    return out
-
-
-def _known(words: list[str], languages: dict[str, tuple[int, ...]]) -> float:
-    """The share of words that are common in the language in which most of them are."""
-    counts: dict[int, int] = {}
-    for w in words:
-        for i in languages.get(w, ()):
-            counts[i] = counts.get(i, 0) + 1
-    return max(counts.values(), default=0) / len(words) if words else 0.0
-
-
-def _fields(line: str, cut: list[str], known: float) -> bool:
-    """Whether the parts of a line are fields: few words each, and not a sentence's share of common words."""
-    return len(cut) >= 3 and sum(len(x.split()) for x in cut) <= 3.5 * len(cut) and known < 0.3
+def _common(common_words: DataFrame) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """The words of each language, sorted. The list is a parameter of some hundred words; one beyond COMMON_BOUND is refused."""
+    rows = common_words.where("word is not null").select(F.coalesce("lang", F.lit("")).alias("lang"), F.lower("word").alias("word")).distinct().limit(COMMON_BOUND + 1).collect()
+    if len(rows) > COMMON_BOUND:
+        raise ValueError(f"a list of more than {COMMON_BOUND} common words is not sent to the tasks")
+    by_lang: dict[str, set[str]] = {}
+    for r in rows:
+        by_lang.setdefault(r.lang, set()).add(r.word)
+    return tuple((lang, tuple(sorted(words))) for lang, words in sorted(by_lang.items()))
 
 
-# What is counted in each line and summed for the document: none of these can reach over the end of a line.
-# Each with a sign without which there is nothing to look for (False: only outside ASCII).
-_COUNTED = ((_KANA, False), (_CJK, False), (_ODD, False), (_ODD_LEAD, False), (_FILE, "."), (_TAG, "#"), (_CELL, "<"), (_HEX, ""), (_GAP, "  "))
+@lru_cache(4)
+def _prepared(common: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[dict[str, frozenset[str]], Lexicon]:
+    """Once per Python worker, whatever the number of batches."""
+    words = {lang: frozenset(own) for lang, own in common}
+    return words, Lexicon(words)
 
 
-def _line_kind(line: str, words: list[str], known: float, menu: float, counted: list[int]) -> str:
-    """What the structure of one line says beyond doubt; `open` where it says nothing. counted: of _COUNTED in the line."""
-    size, n = len(line), len(words)
-    kana, ideographs, odd_signs, odd_leads, files, tags, cells, hexes, _ = counted
-    tokens = line.split()
-    solid = max(1, sum(map(len, tokens)))
-    if cells >= 3 or _RULE.match(line) and "|" in line:
-        return "table"
-    cjk = kana + ideographs
-    if cjk > 0.3 * solid:
-        return "prose" if _CJK_STOP.search(line) or size > 25 else "open"
-    letters, digits = sum(map(str.isalpha, line)), sum(map(str.isdigit, line))
-    odd = odd_signs + odd_leads
-    if odd >= 3 and odd > 0.12 * size:
-        return "junk"
-    if len(tokens) >= 6 and (hexes >= 0.7 * len(tokens) or sum(map(str.isdigit, tokens)) >= 0.9 * len(tokens)):
-        return "junk"
-    longest = max(map(len, tokens), default=0)
-    if longest >= 40 and longest > 0.5 * size and not files and "," not in line and not tags:
-        return "junk"
-    if menu > 0.6 and n >= 3:
-        return "junk"
-    symbols = solid - letters - digits
-    if solid >= 3 and symbols > 0.5 * solid and digits < 0.1 * solid and not files:
-        return "junk"
-    broken = len(_BROKEN.findall(line))
-    if n >= 5 and broken >= 0.25 * n and not files:
-        return "junk"
-    for mark in ("\t", "|", " ; ", None):
-        cut = [x for x in (_GAPS.split(line.strip()) if mark is None else line.split(mark)) if mark in ("\t", " ; ") or x.strip()]
-        if _fields(line, cut, known):
-            return "table"
-    for mark in (";", ","):
-        cut = line.split(mark)
-        if len(cut) >= 3 and mark + " " not in line and max(len(x.split()) for x in cut) <= 5 and _fields(line, cut, known):
-            return "table"
-        if len(cut) >= 3 and files and sum(any(map(str.isdigit, x)) for x in cut) >= 2 and _fields(line, cut, known):
-            return "table"
-    if _PAIR.match(line) and n <= 8 and known < 0.3:
-        return "table"
-    if files and (n <= 12 and known < 0.2 or files * 6 > n):
-        return "list"
-    if tags >= 3 and tags > 0.4 * n:
-        return "list"
-    for mark in (",", " / ", "/", "·", ";", "•", " - ", "|"):
-        cut = [x for x in line.split(mark) if x.strip()]
-        if len(cut) >= 5 and sum(len(x.split()) for x in cut) <= 2.2 * len(cut) and known < 0.25:
-            return "list"
-    if _BULLET.match(line) and n <= 9:
-        return "list"
-    if n >= 8 and known < 0.13 and not digits and letters > 0.75 * solid and sum(w[:1].isupper() for w in tokens) < 0.3 * len(tokens):
-        return "junk"
-    if n >= 6 and known >= 0.2:
-        return "prose"
-    return "open"
+def _read(docs: DataFrame, common_words: DataFrame, id_col: str, text_col: str, labelled: int) -> DataFrame:
+    """(id, _s, _weak): the statistics of each document, and the weak label of about `labelled` of them, drawn by a hash of their id."""
+    fixed = docs.sparkSession.sparkContext.broadcast(_common(common_words))
+    share = min(PARTS, PARTS * labelled // max(1, docs.count())) if labelled else 0
 
+    @F.pandas_udf("s array<double>, weak string")
+    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        words, lexicon = _prepared(fixed.value)
+        for texts, drawn in batches:
+            found = statistics(texts.tolist(), lexicon)
+            yield pd.DataFrame({"s": list(found), "weak": [weak_label(t, words) if d else None for t, d in zip(texts, drawn)]})
 
-def _repeated(items: list[str], span: int = 6) -> float:
-    """The share of words (characters, where words are not set apart) within phrases of six that occur three times or more."""
-    if len(items) < 3 * 3:
-        return 0.0
-    span = min(span, len(items) // 3)
-    ids: dict[str, int] = {}
-    numbers = np.fromiter((ids.setdefault(x, len(ids)) for x in items), dtype=np.uint64, count=len(items))
-    last = len(items) - span + 1
-    phrases = np.zeros(last, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(span):
-            phrases = phrases * np.uint64(0x9E3779B97F4A7C15) + numbers[k : last + k] + np.uint64(1)
-    _, which, times = np.unique(phrases, return_inverse=True, return_counts=True)
-    begin = np.flatnonzero(times[which] >= 3)
-    inside = np.zeros(len(items) + 1, dtype=np.int64)
-    inside[begin] += 1
-    inside[begin + span] -= 1
-    return float((inside.cumsum() > 0).sum()) / len(items)
+    drawn = F.pmod(F.xxhash64(id_col), F.lit(PARTS)) < share
+    texts = spread(docs.select(id_col, text_col))
+    return texts.select(id_col, read(F.coalesce(F.col(text_col), F.lit("")), drawn).alias("_r")).select(id_col, F.col("_r.s").alias("_s"), F.col("_r.weak").alias("_weak"))
 
 
-def statistics(text: str, common: dict[str, frozenset[str]]) -> list[float]:
-    """STATISTICS of one text; all its lines, words and characters are read."""
-    languages = _languages(tuple(common.items()))
-    lines = [x for x in re.split(r"\r\n|\r|\n", text) if x.strip()]
-    shares = dict.fromkeys((*KINDS, "open"), 0)
-    short = bullets = pairs = ends = 0
-    listy, words, lower = [], [], []
-    sums = [0] * len(_COUNTED)
-    for line in lines:
-        found = _WORD.findall(line)
-        own = [w.lower() for w in found]
-        words += found
-        lower += own
-        ascii_only = line.isascii()
-        counted = [len(p.findall(line)) if (sign in line if sign is not False else not ascii_only) else 0 for p, sign in _COUNTED]
-        sums = [a + b for a, b in zip(sums, counted)]
-        menu = sum(w in MENU_WORDS for w in own) / len(own) if own else 0.0
-        kind = _line_kind(line, own, _known(own, languages), menu, counted)
-        short += len(own) <= 5
-        bullets += bool(_BULLET.match(line))
-        pairs += bool(_PAIR.match(line))
-        ends += bool(_SENTENCE_END.search(line))
-        if kind == "open" and len(own) <= 6:
-            listy.append(len(line))
-        shares[kind] += len(line)
-    _, _, odd_signs, odd_leads, file_hits, tags, cells, hexes, gaps = sums
-    n, size = max(1, len(words)), max(1, len(text))
-    counts = Counter(lower)
-    chars = Counter(text)
-    share_of = lambda has: sum(c for x, c in chars.items() if has(x))
-    letters, spaces, digits, upper = share_of(str.isalpha), share_of(str.isspace), share_of(str.isdigit), share_of(str.isupper)
-    latin, vowels, kana, cjk = (share_of(p.match) for p in (_LATIN, _VOWEL, _KANA, _CJK))
-    raw = text.encode("utf-8", "replace")
-    as_line = Counter(x.strip().lower() for x in lines)
-    repeated = _repeated(lower if cjk < 0.3 * size else [c for c in text if not c.isspace()])
-    tokens = text.split()
-    # short lines that say nothing alone are a list when there are many of them and they are not pieces of sentences
-    wrapped = len(lines) > 1 and sum(1 for a, b in zip(lines, lines[1:]) if b[:1].islower() and not _ANY_END.search(a) and len(a) > 24) / (len(lines) - 1)
-    if len(listy) >= 3 and not wrapped > 0.4:
-        shares["list"] += sum(listy)
-        shares["open"] -= sum(listy)
-    furniture = sum(w in MENU_WORDS for w in lower) / n
-    if repeated > 0.6 or furniture > 0.5 and len(words) >= 6:
-        for kind in ("prose", "open", "list") + (("table",) if furniture > 0.5 else ()):
-            shares["junk"] += shares[kind]
-            shares[kind] = 0
-    total = max(1, sum(shares.values()))
-    return [
-        math.log1p(len(words)),
-        sum(map(len, words)) / n,
-        (len(text) - letters - spaces - digits) / size,
-        ends / max(1, len(lines)),
-        _known(lower, languages),
-        math.log1p(len(text)),
-        math.log1p(len(lines)),
-        digits / size,
-        upper / max(1, letters),
-        spaces / size,
-        letters / size,
-        kana / size,
-        cjk / size,
-        vowels / max(1, latin),
-        math.log1p(max(map(len, words), default=0)),
-        sum(len(w) > 18 for w in words) / n,
-        len(counts) / n,
-        (counts.most_common(1)[0][1] if counts else 0) / n,
-        len(zlib.compress(raw, 6)) / max(1, len(raw)),
-        sum(c for c in as_line.values() if c > 1) / max(1, len(lines)),
-        repeated,
-        len(words) / max(1, len(lines)),
-        short / max(1, len(lines)),
-        bullets / max(1, len(lines)),
-        text.count("\t") / n,
-        text.count("|") / n,
-        text.count(";") / n,
-        text.count(",") / n,
-        gaps / n,
-        cells / n,
-        pairs / max(1, len(lines)),
-        file_hits / n,
-        tags / n,
-        (odd_signs + odd_leads) / size,
-        len(_BROKEN.findall(_MARKUP.sub(" ", text))) / n,
-        hexes / max(1, len(tokens)),
-        furniture,
-        sum(w[:1].isupper() for w in words) / n,
-        *[shares[k] / total for k in KINDS],
-    ]
+def _named(id_col: str) -> list:
+    return [F.col(id_col), *[F.get("_s", F.lit(i)).alias(s) for i, s in enumerate(STATISTICS)]]
 
 
 def document_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, one DOUBLE column for each of STATISTICS): counts are logarithms of one more, the others rates and shares.
 
     Null, empty and blank texts have all statistics 0. Nothing is shuffled but tables of fewer partitions than cores.
-    common_words(lang, word, rank_no) is a fixed list of a few hundred words and is sent to the tasks; of a list of more than
-    100,000 the most frequent (by rank_no) are used.
+    common_words(lang, word) is a fixed list of a few hundred words and is sent to the tasks; one of more than COMMON_BOUND is refused.
     """
-    known = common_words.where("word is not null").orderBy("rank_no", "word").limit(100_000)
-    by_lang: dict[str, set[str]] = {}
-    for r in known.select(F.coalesce("lang", F.lit("")).alias("lang"), "word").collect():
-        by_lang.setdefault(r.lang, set()).add(r.word.lower())
-    common = {lang: frozenset(words) for lang, words in by_lang.items()}
-    fixed = docs.sparkSession.sparkContext.broadcast(common)
-
-    @F.pandas_udf("array<double>")
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: statistics(t, fixed.value) if t and t.strip() else [0.0] * len(STATISTICS))
-
-    texts = spread(docs.select(id_col, text_col))
-    return texts.select(id_col, read(F.coalesce(F.col(text_col), F.lit(""))).alias("_s")).select(id_col, *[F.col("_s")[i].alias(s) for i, s in enumerate(STATISTICS)])
+    return _read(docs, common_words, id_col, text_col, 0).select(*_named(id_col))
 
 
 def clean_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -290,34 +83,23 @@ def clean_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return best.join(ties, id_col, "left_semi").select(id_col, "kind")
 
 
-def _bounded(df: DataFrame, id_col: str, bound: int) -> DataFrame:
-    """At most `bound` rows for training, drawn by a hash of the id."""
-    return df.orderBy(F.xxhash64(id_col), id_col).limit(bound)
-
-
-def without_lines(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows, and once more without what their lines said (from which the weak labels come): so the trees also learn to tell the
-    kinds by the other statistics, for documents whose lines say little."""
-    blind = x.copy()
-    blind[:, -len(KINDS) :] = 0
-    return np.concatenate([x, blind]), np.concatenate([y, y])
+def _bounded(df: DataFrame, id_col: str, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """(statistics, kinds) of at most `bound` rows of df(id, kind, _s), drawn by a hash of the id."""
+    rows = df.select("kind", "_s", id_col).orderBy(F.xxhash64(id_col), id_col).limit(bound).toPandas()
+    return np.array(rows["_s"].tolist(), dtype=float).reshape(-1, len(STATISTICS)), rows["kind"].map(KINDS.index).to_numpy(int)
 
 
-def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", weak_bound: int = WEAK_BOUND, hand_bound: int = HAND_BOUND) -> boosting.Forest | None:
-    """Trees on weakly labelled documents, calibrated on the hand labels; None if no document can be labelled weakly.
+def train(read: DataFrame, labels: DataFrame, id_col: str = "doc_id", weak_bound: int = WEAK_BOUND, hand_bound: int = HAND_BOUND) -> boosting.Forest | None:
+    """Trees on weakly labelled documents, calibrated on the hand labels; None if no document could be labelled weakly.
 
-    Documented bounds: weak_bound documents of each kind are trained on and hand_bound hand labels calibrate.
+    Documented bounds: about weak_bound documents are labelled weakly and trained on, hand_bound hand labels calibrate.
     """
-    chosen = []
-    for kind in KINDS:
-        mine = _bounded(stats.where((F.col("chars") > 0) & (F.col(f"as_{kind}") >= SURE)), id_col, weak_bound // len(KINDS))
-        chosen.append(mine.select(*STATISTICS).toPandas().assign(kind=KINDS.index(kind)))
-    weak = pd.concat(chosen)
-    if weak.empty:
+    x, y = _bounded(read.where("_weak is not null").withColumnRenamed("_weak", "kind"), id_col, weak_bound + weak_bound // 10)
+    if not len(y):
         return None
-    forest = boosting.fit(*without_lines(weak[list(STATISTICS)].to_numpy(float), weak["kind"].to_numpy(int)), len(KINDS))
-    held = _bounded(stats.where("chars > 0").join(clean_labels(labels, id_col), id_col), id_col, hand_bound).select("kind", *STATISTICS).toPandas()
-    return boosting.calibrate(forest, held[list(STATISTICS)].to_numpy(float), held["kind"].map(KINDS.index).to_numpy(int))
+    forest = boosting.fit(x, y, len(KINDS))
+    held = clean_labels(labels, id_col).join(read.where(F.get("_s", F.lit(STATISTICS.index("chars"))) > 0), id_col)
+    return boosting.calibrate(forest, *_bounded(held, id_col, hand_bound))
 
 
 def document_kinds(docs: DataFrame, labels: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,18 +108,18 @@ def document_kinds(docs: DataFrame, labels: DataFrame, common_words: DataFrame,
     kind is null for null, empty and blank texts (and for all where no document could be trained on); repeated rows get equal
     rows. Other columns are ignored.
     """
-    stats = materialise(document_statistics(docs, common_words, id_col, text_col), "statistics")
-    forest = train(stats, labels, id_col)
+    read = materialise(_read(docs, common_words, id_col, text_col, WEAK_BOUND), "statistics")
+    forest = train(read, labels, id_col)
     if forest is None:
         empty = [F.lit(None).cast("double").alias(f"p_{k}") for k in KINDS]
-        return stats.select("*", *empty, F.lit(None).cast("string").alias("kind"))
+        return read.select(*_named(id_col), *empty, F.lit(None).cast("string").alias("kind"))
     sent = docs.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("array<double>")
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
-            yield pd.Series(list(sent.value.probabilities(rows.to_numpy(float))), index=rows.index)
+            yield pd.Series(list(sent.value.probabilities(np.stack(rows.to_numpy()))), index=rows.index) if len(rows) else rows
 
-    scored = stats.withColumn("_p", score(F.struct(*STATISTICS)))
+    scored = read.withColumn("_p", score("_s"))
     best = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.array_position("_p", F.array_max("_p")).cast("int"))
-    return scored.select(*stats.columns, *[F.col("_p")[i].alias(f"p_{k}") for i, k in enumerate(KINDS)], F.when(F.col("chars") > 0, best).alias("kind"))
+    return scored.select(*_named(id_col), *[F.get("_p", F.lit(i)).alias(f"p_{k}") for i, k in enumerate(KINDS)], F.when(F.get("_s", F.lit(STATISTICS.index("chars"))) > 0, best).alias("kind"))

@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from pixloom.llm import boosting, quality
+from pixloom.llm import boosting, quality, text_statistics, weak_labels
 
 EN = "the of and to a in that is was for it with as on be at by this had not are but from or have an they which one you were all we her she there would their".split()
 COMMON = {"en": frozenset(EN)}
@@ -30,12 +31,49 @@ def sample(kind, r):
 
 
 def test_statistics_of_plain_cases():
-    at = quality.STATISTICS.index
-    s = quality.statistics("The cat was in the garden. It had not been there!\nWe were all at home.", COMMON)
-    assert s[at("line_end_share")] == 1.0 and s[at("common_share")] > 0.5 and s[at("as_prose")] > 0.5
-    assert quality.statistics("a\n" * 5, COMMON)[at("lines")] == np.log1p(5)
-    for odd in ("x", "....", "\n", "日本語", "a" * 300_000, "1", "\u0000", "|||"):
-        assert len(quality.statistics(odd, COMMON)) == len(quality.STATISTICS) and np.isfinite(quality.statistics(odd, COMMON)).all()
+    lexicon = text_statistics.Lexicon(COMMON)
+    of = lambda *texts: text_statistics.statistics(list(texts), lexicon)
+    at = text_statistics.STATISTICS.index
+    s = of("The cat was in the garden. It had not been there!\nWe were all at home.")[0]
+    assert s[at("line_end_share")] == 1.0 and s[at("common_share")] > 0.5 and s[at("words")] == np.log1p(16) and s[at("in_common_lines")] > 0.5
+    assert of("a\n" * 5)[0, at("lines")] == np.log1p(5)
+    assert of("- one thing\n2. two\n[x] three\nfour")[0, at("bullet_share")] == 0.75
+    assert of("see IMG_1.JPG, b.mp4 and e.g. this")[0, at("file_rate")] == 2 / 10  # see IMG 1 JPG b mp4 and e g this
+    assert of("IMG\tParis\t2020\n" * 3)[0, at("in_fields")] == 1.0 and of("Name: value\nSize: 3")[0, at("pair_share")] == 1.0
+    assert of("0a ff 12 e4 77 90 ab")[0, at("hex_share")] == 1.0 and of("<tr><td>x</td><td>y</td></tr>")[0, at("in_cells")] == 1.0
+    assert of("one two three four five six " * 9)[0, at("repeated_phrase_share")] == 1.0
+    odd = ["x", "....", "\n", "日本語", "a" * 300_000, "1", "\u0000", "|||", "", " ", "\ud800", "\r\n\r", "\u2028x"]
+    assert np.isfinite(of(*odd)).all() and not of("", " \n ").any()
+
+
+def test_texts_do_not_touch_each_other():
+    r = random.Random(7)
+    texts = [sample(r.choice(["prose", "list", "table", "junk"]), r) + r.choice(["", "\n", "-", " "]) for _ in range(60)] + ["", "x" * 500_000, "写真を撮った。" * 30]
+    lexicon = text_statistics.Lexicon(COMMON)
+    together = text_statistics.statistics(texts, lexicon)
+    assert np.allclose(together, np.concatenate([text_statistics.statistics([t], lexicon) for t in texts]))
+
+
+def test_counts_against_single_strings():
+    r = random.Random(8)
+    texts = [sample(r.choice(["prose", "list", "table", "junk"]), r) for _ in range(80)]
+    found = text_statistics.statistics(texts, text_statistics.Lexicon(COMMON))
+    at = text_statistics.STATISTICS.index
+    for t, s in zip(texts, found):
+        words = [w.lower() for w in weak_labels.WORD.findall(t)]
+        lines = [x for x in t.split("\n") if x.strip()]
+        expected = {
+            "words": np.log1p(len(words)), "mean_word_length": sum(map(len, words)) / len(words) if words else 0, "common_share": weak_labels.known_share(words, COMMON), "lines": np.log1p(len(lines)),
+            "digit_ratio": sum(map(str.isdigit, t)) / len(t), "space_ratio": sum(map(str.isspace, t)) / len(t), "distinct_share": len(set(words)) / max(1, len(words)),
+            "repeated_phrase_share": weak_labels.repeated_share(words), "repeated_line_share": sum(lines.count(x) > 1 for x in lines) / len(lines),
+        }
+        assert {k: s[at(k)] for k in expected} == {k: pytest.approx(v) for k, v in expected.items()}
+
+
+def test_weak_labels():
+    r = random.Random(9)
+    assert all(weak_labels.weak_label(sample(k, r), COMMON) in (k, None) for k in ("prose", "list", "table") for _ in range(20))
+    assert [weak_labels.weak_label(t, COMMON) for t in (None, "", "  ", "perhaps")] == [None] * 4
 
 
 def test_trees_learn_and_calibrate():
