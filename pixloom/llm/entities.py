@@ -1,9 +1,9 @@
 """Matching entities across sources without keys: photographs that lost their sidecar, and sidecars that lost their photograph.
 
 A deterministic cascade. Each rule is an exact join on fewer or weaker attributes than the one before (library, folder, name,
-counter, edit mark, capture instant); records resolved by a rule are anti-joined away before the next. The same cascade runs
-over records whose sidecar is known, in the same joins, and the share of right pairs among a rule's pairs there, smoothed, is
-the confidence of its pairs.
+counter, edit mark, capture instant); records resolved by a rule are anti-joined away before the next. Records whose sidecar is
+known take part in every join, resolved or not, and the share of right pairs among all that a rule finds for them, smoothed, is the
+confidence of its pairs. Rules for renamed sidecars are judged there with all names hidden, since known sidecars have their names.
 """
 
 from __future__ import annotations
@@ -116,7 +116,8 @@ def _one_starts_other(a: str, b: str, least: int) -> Column:
 
 
 def _renamed() -> Column:
-    return (F.col("o_edit") == "") & (F.col("core") != F.col("o_core")) & (_video(F.col("ext")) == _video(F.col("o_ext")))
+    """Another name; of labelled records any name, so that the rule is judged as if all of them had been renamed."""
+    return (F.col("o_edit") == "") & ((F.col("pop") == "labelled") | (F.col("core") != F.col("o_core"))) & (_video(F.col("ext")) == _video(F.col("o_ext")))
 
 
 def _folders_alike() -> Column:
@@ -186,7 +187,8 @@ def _media(copies: DataFrame, exif: DataFrame, bound: int) -> DataFrame:
         F.min(F.when(~taken & zoneless, second("local_us"))).alias("cl_min"),
     )
     out = kept.drop("place").distinct().join(times, "hash", "left")
-    out = out.withColumn("phase", F.coalesce("t_min", "l_min") % QUARTER)
+    phases = F.array_distinct(F.transform(F.array_compact(F.array("t_min", "t_max", F.when(F.col("t_min").isNull(), F.col("l_min")))), lambda t: F.pmod(t, F.lit(QUARTER))))
+    out = out.withColumn("phase", F.explode_outer(phases))
     return _weak_keys(out).withColumn("second", F.explode_outer(F.array_distinct(F.array_compact(F.array("t_min", "t_max")))))
 
 
@@ -204,65 +206,72 @@ def _sidecars(orphans: DataFrame, docs: DataFrame, media: DataFrame) -> DataFram
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("inner_name", numbered, "$1"), r"\.json$", ""), r"(\.[A-Za-z0-9]{2,4})\.s[a-z-]*$", "$1")
     out = with_name_parts(found, F.coalesce(F.nullif(F.trim("title"), F.lit("")), bare), F.regexp_extract("inner_name", numbered, 2))
     out = _weak_keys(with_place_parts(out, F.col("at")).withColumn("taken", F.floor(F.col("taken_us") / 1_000_000)).withColumn("second", F.col("taken")))
-    out = out.withColumn("phase", F.col("taken") % QUARTER)
-    out = out.select("orphan_ord", "at", "owner", "lib", "folder", "phase", "core", "core24", "cnt", "edit", "ext", "taken", "second")
+    # a second's difference is the same instant, so a sidecar is looked for at three places of the quarter hour
+    out = out.withColumn("phases", F.when(F.col("taken").isNotNull(), F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.pmod(F.col("taken") + k, F.lit(QUARTER)))))
+    out = out.select("orphan_ord", "at", "owner", "lib", "folder", "phases", "core", "core24", "cnt", "edit", "ext", "taken", "second")
     pops = F.when(F.col("owner").isNotNull(), F.array(F.lit("labelled"))).otherwise(F.array(F.lit("open"), F.lit("labelled")))
     return out.withColumn("pop", F.explode(pops))
 
 
 def match_orphans(copies: DataFrame, orphans: DataFrame, sidecar_docs: DataFrame, exif: DataFrame, labelled_bound: int = LABELLED_BOUND) -> DataFrame:
-    """(hash, orphan_ord, rule, confidence): the orphan sidecars of every content that no copy has a sidecar for.
+    """(hash, orphan_ord, rule, confidence, judged): the orphan sidecars of every content that no copy has a sidecar for.
 
     A content may get several orphans (a sidecar delivered twice) and an orphan several contents (a photograph and its edited
     copies); repeated rows give one pair. Names and folders are compared without letter case, accents, percent codes, copy
     prefixes and edit marks; a document that cannot be read leaves name and place as evidence. Contents without readable hash
     and records without place have no match, orphans without number or place match nothing; empty tables give none. Other columns are ignored.
 
-    labelled_bound: about how many contents with known sidecars the rules' precision is estimated on (all, if there are fewer);
-    confidence is (right + 1) / (pairs + 2). Matching itself always covers all records.
+    confidence is (right + 1) / (judged + 2) of the pairs that the rule finds for records whose sidecar is known, judged their
+    number; a pair whose sidecar may be another's, or of which that is not known, is not right. labelled_bound: about how many
+    contents with known sidecars are judged (all, if there are fewer). Matching itself always covers all records.
     """
     media = materialise(_media(copies, exif, labelled_bound), "matchable")
     cards = materialise(_sidecars(orphans, sidecar_docs, media), "cards")
-    rest = media.drop("ref").distinct()
+    everything = media.drop("ref").distinct()
+    rest = everything
     number = 0
     for step in CASCADE:
         keys = ["pop", *step.keys]
-        other = cards.select(*[F.col(k) for k in keys], *[F.col(c).alias(f"o_{c}") for c in ("orphan_ord", "at", "owner", "folder", "core", "cnt", "edit", "ext", "taken")])
+        own_keys = [F.explode("phases").alias("phase") if k == "phase" else F.col(k) for k in keys]
+        other = cards.select(*own_keys, *[F.col(c).alias(f"o_{c}") for c in ("orphan_ord", "at", "owner", "folder", "core", "cnt", "edit", "ext", "taken")])
         rule = F.coalesce(*[F.when(holds(), F.lit(number + i)) for i, (_, holds) in enumerate(step.rules)])
         number += len(step.rules)
         pairs = rest.where(F.col(step.keys[-1]).isNotNull()).join(other, keys).select("pop", "hash", F.col("o_orphan_ord").alias("orphan_ord"), F.col("o_at").alias("at"), F.col("o_owner").alias("owner"), rule.alias("rule"))
         pairs = pairs.where("rule is not null").distinct()
         # several sidecars of one content are kept if the same rule finds them; an edited copy takes its own and its original's
         pairs = pairs.withColumn("_original", F.col("rule").isin(*ORIGINAL_RULES))
-        pairs = pairs.withColumn("_best", F.min("rule").over(Window.partitionBy("pop", "hash", "_original"))).where("rule = _best").drop("_best", "_original")
+        pairs = pairs.withColumn("_best", F.min("rule").over(Window.partitionBy("pop", "hash", "_original"))).where("pop = 'labelled' or rule = _best").drop("_best", "_original")
         pairs = materialise(pairs, f"pass{number}")
         done = pairs if step is CASCADE[0] else done.unionByName(pairs)
-        rest = rest.join(pairs.select("pop", "hash").distinct(), ["pop", "hash"], "left_anti")
-    # an edited copy without evidence of its own takes what its original, in the same folder, was given
+        rest = rest.join(pairs.where("pop = 'open'").select("pop", "hash").distinct(), ["pop", "hash"], "left_anti")
+    # an edited copy without evidence of its own takes what its original, in the same folder, was given; of labelled ones all are judged
     original = media.where("edit = ''").join(done, ["pop", "hash"]).select("pop", "lib", "folder", "core", "cnt", "orphan_ord", "at", "owner").distinct()
-    copies_left = rest.where("edit <> '' and t_min is null and l_min is null").select("pop", "hash", "lib", "folder", "core", "cnt").distinct()
+    copies_left = rest.where("edit <> '' and (pop = 'labelled' or (t_min is null and l_min is null))").select("pop", "hash", "lib", "folder", "core", "cnt").distinct()
     taken_over = copies_left.join(original, ["pop", "lib", "folder", "core", "cnt"]).select("pop", "hash", "orphan_ord", "at", "owner", F.lit(len(RULES)).alias("rule")).distinct()
     done = done.unionByName(materialise(taken_over, "taken_over"))
-    # a sidecar delivered twice: another with the same name and the same instant, wherever it lies
-    twin = ("core", "cnt", "edit", "taken")
-    cards2 = cards.where("pop = 'open' and taken is not null").select("orphan_ord", *twin).distinct()
-    twins = cards2.join(cards2.withColumnRenamed("orphan_ord", "other_ord"), list(twin)).where("orphan_ord <> other_ord").select("orphan_ord", "other_ord")
+    # a sidecar delivered twice: all with the same name and the same instant, wherever they lie, come with one of them
+    twin = ["core", "cnt", "edit", "taken"]
+    known = cards.where("pop = 'open' and taken is not null").select("orphan_ord", *twin).distinct()
     open_pairs = done.where("pop = 'open'").select("hash", "orphan_ord", "rule")
-    more = open_pairs.join(twins, "orphan_ord").select("hash", F.col("other_ord").alias("orphan_ord"), "rule")
-    found = open_pairs.unionByName(more).groupBy("hash", "orphan_ord").agg(F.min("rule").alias("rule"))
-    return found.join(_precision(done, media, cards), "rule", "left").select(
+    of_name = open_pairs.join(known, "orphan_ord").groupBy("hash", *twin).agg(F.min("rule").alias("rule"))
+    found = open_pairs.unionByName(of_name.join(known, twin).select("hash", "orphan_ord", "rule")).groupBy("hash", "orphan_ord").agg(F.min("rule").alias("rule"))
+    return found.join(F.broadcast(_precision(done, media, cards)), "rule", "left").select(  # one row a rule
         "hash",
         "orphan_ord",
         F.element_at(F.array(*[F.lit(r) for r in RULES], F.lit(ORIGINALS)), F.col("rule") + 1).alias("rule"),
         F.coalesce("confidence", F.lit(0.5)).alias("confidence"),
+        F.coalesce("judged", F.lit(0)).alias("judged"),
     )
 
 
 def _precision(done: DataFrame, media: DataFrame, cards: DataFrame) -> DataFrame:
-    """(rule, confidence) from the labelled pairs: right if the sidecar is the content's own or tells of the same instant."""
-    own = cards.where("pop = 'labelled' and owner is not null").groupBy(F.col("owner").alias("hash")).agg(F.min("taken").alias("own_taken"))
-    taken = cards.where("pop = 'labelled'").groupBy("at").agg(F.min("taken").alias("its_taken"))
-    judged = done.where("pop = 'labelled'").join(own, "hash", "left").join(taken, "at", "left")
-    right = F.when(F.col("owner") == F.col("hash"), True).otherwise(F.col("its_taken") == F.col("own_taken"))
-    judged = judged.where(right.isNotNull())  # a pair of which neither is known says nothing
-    return judged.groupBy("rule").agg(((F.sum(right.cast("int")) + 1) / (F.count("*") + 2)).alias("confidence"))
+    """(rule, confidence, judged) from the labelled pairs: right if the sidecar is the content's own, or one of the same name and
+    instant as its own (the same sidecar delivered again, or that of its original). What else there is, unknown ones too, is not."""
+    facts = ["core", "taken"]
+    mine = cards.where("pop = 'labelled'")
+    own = mine.where("owner is not null and taken is not null").select(F.col("owner").alias("hash"), *facts).distinct().withColumn("_same", F.lit(True))
+    its = mine.groupBy("at").agg(*[F.min(c).alias(c) for c in facts])
+    judged = done.where("pop = 'labelled'").join(its, "at", "left").join(own, ["hash", *facts], "left")
+    right = F.coalesce((F.col("owner") == F.col("hash")) | F.col("_same"), F.lit(False))
+    per = judged.groupBy("rule", "hash", "at").agg(F.max(right).alias("right"))
+    return per.groupBy("rule").agg(((F.sum(F.col("right").cast("int")) + 1) / (F.count("*") + 2)).alias("confidence"), F.count("*").alias("judged"))

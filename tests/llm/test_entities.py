@@ -80,5 +80,28 @@ def test_cases(spark):
     assert all(0 < r.confidence < 1 and r.rule for r in rows)
 
 
+def test_confidence_is_judged_on_known_sidecars(spark):
+    w = World()
+    for i in range(40):  # known sidecars; of ten, another photograph of the same folder has the same second
+        name, ts = f"IMG_{100 + i}.jpg", TS + 60 * i
+        path = BASE.format("lib1", "Trip 2019", f"{name}.json")
+        w.media(10 + i, "lib1", "Trip 2019", name, f"2020:07:01 {10 + (20 + i) // 60:02d}:{(20 + i) % 60:02d}:30", "Z", sidecar=path)
+        w.doc(path, name, ts)
+    for i in range(10):
+        path = BASE.format("lib1", "Trip 2019", f"burst_{i}.jpg.json")
+        w.media(60 + i, "lib1", "Trip 2019", f"burst_{i}.jpg", sidecar=path)
+        w.doc(path, f"burst_{i}.jpg", TS + 60 * i)
+    w.media(2, "lib1", "Trip 2019", "IMG_900.jpg", "2020:07:02 10:20:30", "Z")
+    w.orphan(1, "lib1", "Trip 2019", "IMG_900.jpg", ts=TS + 86_400)
+    w.media(3, "lib1", "Trip 2019", "Lake 4.jpg", "2020:07:03 10:20:31", "Z")  # renamed, and a second off
+    w.orphan(2, "lib1", "Trip 2019", "PXL_7.jpg", ts=TS + 2 * 86_400 + 1)
+    w.media(4, "lib4", "Trip 2019", "IMG_901.jpg", "2020:07:04 10:15:00", "Z")  # another library, and a second off across a quarter hour
+    w.orphan(3, "lib5", "Trip 2019", "IMG_901.jpg", ts=TS + 3 * 86_400 - 331)
+    got = {(int(r.hash, 16), r.orphan_ord): (r.rule, r.judged, round(r.confidence, 3)) for r in w.run(spark).collect()}
+    assert got[2, 1] == ("name, folder and time", 40, round(41 / 42, 3))
+    assert got[3, 2] == ("renamed: folder and time", 50, round(41 / 52, 3))  # with names hidden ten of fifty would be another's
+    assert got[4, 3][0] == "name, folder and time, library unknown"
+
+
 def test_empty(spark):
     assert World().run(spark).count() == 0
