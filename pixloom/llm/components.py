@@ -23,7 +23,7 @@ BFS_ROUNDS = 6
 
 
 class _Store:
-    """Rounds written to numbered folders of one work folder; all but the newest are removed."""
+    """Rounds written to numbered folders of one work folder; what is no longer read is removed, and all of it at the end."""
 
     def __init__(self, df: DataFrame, what: str):
         self.spark, self.root, self.n = df.sparkSession, work_dir(df.sparkSession, what), 0
@@ -41,6 +41,13 @@ class _Store:
         if path:
             remove_dir(self.spark, path)
 
+    def close(self, result: DataFrame) -> DataFrame:
+        """The result, written beside the work folder, which is removed."""
+        path = f"{self.root}-result"
+        result.write.parquet(path)
+        remove_dir(self.spark, self.root)
+        return self.spark.read.schema(result.schema).parquet(path)
+
 
 def _links(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """(u, v), u > v, once each; pairs with a missing end and self pairs are no links."""
@@ -58,6 +65,7 @@ def _both_ways(links: DataFrame) -> DataFrame:
 def _peel(store: _Store, links: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
     """((node, root) of what was reached from the highest-degree vertex, the links that are left)."""
     both = _both_ways(links)
+    # a frontier is a written table: Spark broadcasts it where its size on disk says that it is small, and joins by sorting beyond
     top = both.groupBy("a").count().orderBy(F.desc("count"), "a").limit(1).select(F.col("a").alias("node"), F.col("a").alias("root"))
     reached = frontier = store.put(top, "front")
     ended = False
@@ -94,7 +102,7 @@ def connected_groups(pairs: DataFrame, left: str = "left_ord", right: str = "rig
     store = _Store(pairs, "groups")
     links = store.put(_links(pairs, left, right), "links")
     if links.isEmpty():
-        return links.select(F.col("u").alias("node"), F.col("v").alias("group_id"))
+        return store.close(links.select(F.col("u").alias("node"), F.col("v").alias("group_id")))
     inside, rest = _peel(store, links, bfs_rounds)
     inside = store.put(inside, "inside")
     now = store.put(rest, "round")
@@ -120,4 +128,4 @@ def connected_groups(pairs: DataFrame, left: str = "left_ord", right: str = "rig
     # the peeled vertices may hold the smallest number of their component
     least = peeled.groupBy("star").agg(F.min("node").alias("m"))
     all_labels = peeled.unionByName(rest_labels.join(peeled.select("node"), "node", "left_anti"))
-    return all_labels.join(least, "star", "left").select("node", F.least(F.coalesce("m", "star"), "star").alias("group_id"))
+    return store.close(all_labels.join(least, "star", "left").select("node", F.least(F.coalesce("m", "star"), "star").alias("group_id")))

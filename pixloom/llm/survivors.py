@@ -3,7 +3,9 @@
 Each respect (has a dated document, loose over archived, place, the reviewer's mark, size) is a source. It claims that the record
 to keep, and the group's value of every field, are those of the members it ranks best. A value's support is the sum of the
 reliabilities of the sources that claim it, and a source's reliability is the share of groups and fields where it claims the
-value that wins; the two are computed in turn until the reliabilities stand still.
+value that wins; the two are computed in turn until the reliabilities stand still. Winners depend on the reliabilities only through
+finitely many comparisons, so the sequence comes back to reliabilities it had: mostly to the last ones (convergence), else it goes
+round a circle, of which the member with the largest support of all winners is taken.
 
 Groups enter that loop only as patterns: for a group and field, the set of claims (five bits each) that its values have. Patterns
 are counted before the loop, so a round reads a table whose size depends on the number of patterns and returns five numbers.
@@ -21,7 +23,6 @@ from pixloom.session import materialise
 RESPECTS = ("dated", "loose", "place", "kept", "size")
 ALL = (1 << len(RESPECTS)) - 1
 FIELDS = ("name", "path", "dims", "size")
-MAX_ROUNDS = 30
 
 
 def place_rank(place: Column) -> Column:
@@ -72,29 +73,29 @@ def _claims(members: DataFrame) -> DataFrame:
     return members.join(best, "group_id").withColumn("mask", mask).drop(*[f"best_{r}" for r in RESPECTS])
 
 
-def _support(mask: Column, weights: list[float]) -> Column:
+def _support(mask: Column, weights: list[float] | tuple[float, ...]) -> Column:
     total = F.lit(0.0)
     for i, w in enumerate(weights):
         total = total + F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, w).otherwise(0.0)
     return F.round(total, 9)
 
 
-def reliabilities(patterns: DataFrame, rounds: int = MAX_ROUNDS) -> list[float]:
+def reliabilities(patterns: DataFrame) -> list[float]:
     """The reliability of each respect, from (claims ARRAY<INT>, n): how many groups and fields have values with these claims."""
-    weights = [1.0 / len(RESPECTS)] * len(RESPECTS)
-    for _ in range(rounds):
-        won = F.array_max(F.transform("claims", lambda m: F.struct(_support(m, weights).alias("s"), m.alias("m"))))["m"]
-        sums = [F.sum(F.when(won.bitwiseAND(F.lit(1 << i)) != 0, F.col("n")).otherwise(0)) for i in range(len(RESPECTS))]
-        row = patterns.agg(F.sum("n"), *sums).first()
+    weights = tuple([1.0 / len(RESPECTS)] * len(RESPECTS))
+    met: dict[tuple[float, ...], float] = {}
+    order: list[tuple[float, ...]] = []
+    while weights not in met:
+        best = F.array_max(F.transform("claims", lambda m: F.struct(_support(m, weights).alias("s"), m.alias("m"))))  # noqa: B023
+        sums = [F.sum(F.when(best["m"].bitwiseAND(F.lit(1 << i)) != 0, F.col("n")).otherwise(0)) for i in range(len(RESPECTS))]
+        row = patterns.agg(F.sum("n"), F.sum(best["s"] * F.col("n")), *sums).first()
         if not row[0]:
-            break
-        shares = [(s + 1) / (row[0] + 2) for s in row[1:]]
-        new = [s / sum(shares) for s in shares]
-        moved = max(abs(a - b) for a, b in zip(new, weights))
-        weights = new
-        if moved < 1e-9:
-            break
-    return weights
+            return list(weights)
+        met[weights] = row[1]
+        order.append(weights)
+        shares = [(s + 1) / (row[0] + 2) for s in row[2:]]
+        weights = tuple(round(s / sum(shares), 12) for s in shares)
+    return list(max(order[order.index(weights) :], key=lambda w: (met[w], w)))
 
 
 def best_records(dup_groups: DataFrame, copies: DataFrame, sidecar_docs: DataFrame) -> DataFrame:

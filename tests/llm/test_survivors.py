@@ -59,3 +59,30 @@ def test_reliable_respects_gain_weight(spark):
     patterns = spark.createDataFrame([([0b00111, 0b11000], 90), ([0b00110, 0b11001], 5)], "claims array<int>, n bigint")
     w = reliabilities(patterns)
     assert abs(sum(w) - 1) < 1e-9 and min(w[0], w[1], w[2]) > max(w[3], w[4])
+
+
+def test_unreliable_sources_are_found_out(spark):
+    """Respects that claim a planted true member with a known chance: those that err lose weight, and the vote beats equal weights."""
+    r = random.Random(6)
+    chance = (0.9, 0.85, 0.8, 0.3, 0.25)  # dated, loose, place, kept, size
+    groups = []
+    for _ in range(3000):
+        claimed = [0, 0, 0]  # the true member and two others
+        for i, p in enumerate(chance):
+            claimed[0 if r.random() < p else r.choice((1, 2))] |= 1 << i
+        groups.append(claimed)
+    count = {}
+    for c in groups:
+        key = tuple(sorted(set(c) - {0}))
+        count[key] = count.get(key, 0) + 1
+    w = reliabilities(spark.createDataFrame([(list(k), n) for k, n in count.items()], "claims array<int>, n bigint"))
+    assert min(w[:3]) > 1.5 * max(w[3:])
+    support = lambda m, w: round(sum(x for i, x in enumerate(w) if m >> i & 1), 9)
+    right = lambda w: sum(support(c[0], w) > max(support(c[1], w), support(c[2], w)) for c in groups) / len(groups)
+    assert right(w) > 0.93 and right(w) > right([0.2] * 5) + 0.02
+
+
+def test_iteration_ends_where_winners_take_turns(spark):
+    patterns = spark.createDataFrame([([1, 2], 3), ([2, 4], 3), ([4, 1], 3), ([8, 16], 1), ([5, 10], 2)], "claims array<int>, n bigint")
+    assert abs(sum(reliabilities(patterns)) - 1) < 1e-9
+    assert reliabilities(patterns.limit(0)) == [0.2] * 5
