@@ -3,8 +3,11 @@
 Every prefix of a byte string has one encoding, so it has one last token; a token that ends at a position is that last token
 exactly if it may follow the last token of the prefix before it, that is if merging could not have joined across their border.
 Storing the last token of every prefix gives the encoding in one pass over the bytes, in time proportional to their number
-(merging by rank is quadratic in unbroken texts), and the table of a text can be extended: an append continues from where the
-text ended, and an edit re-encodes only from shortly before its first changed byte to where the old pieces are met again.
+(merging by rank is quadratic in unbroken texts).
+
+The tokenizer splits texts into pieces first, so a text's table is the places of its pieces, the tokens before each, and for long
+pieces the last token of every prefix. With it an append reads the last few pieces again and continues the table of the last one,
+and an edit reads from shortly before its first changed character to where pieces begin as before; all else is taken over.
 """
 
 from __future__ import annotations
@@ -12,8 +15,10 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -26,6 +31,42 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 # Pieces before a border whose matching may have looked beyond it (two characters at most: 'll, and blanks before a word).
 LOOKS_BACK = 3
 CACHED_PIECES = 200_000
+CACHED_PAIRS = 1_000_000
+LONG_PIECE = 64
+
+
+@dataclass
+class PrefixTable:
+    """What is kept of an encoded text: where its pieces begin (in characters), how many tokens come before each, and for pieces of
+    LONG_PIECE bytes and more the last token of every prefix, by the piece's number."""
+
+    size: int
+    starts: np.ndarray
+    counts: np.ndarray
+    long: dict[int, list[int]] = field(default_factory=dict)
+
+
+def _same_begin(a: str, b: str) -> int:
+    """How many characters two texts have in common at their beginning, by comparing halves."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _same_end(a: str, b: str, most: int) -> int:
+    low, high = 0, most
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[len(a) - middle : len(a) - low] == b[len(b) - middle : len(b) - low]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 class Vocabulary:
@@ -35,6 +76,7 @@ class Vocabulary:
         lines = (line.split() for line in rank_file.splitlines() if line.strip())
         self.rank = {base64.b64decode(token): int(number) for token, number in lines}
         self.token = {number: token for token, number in self.rank.items()}
+        self.longest = max(map(len, self.rank))
         self.split = regex.compile(split)
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._follows: dict[tuple[int, int], bool] = {}
@@ -82,6 +124,8 @@ class Vocabulary:
                 bound, a = a, pa[1]
             else:
                 bound, b = b + 1, pb[0]
+        if len(self._follows) >= CACHED_PAIRS:
+            self._follows.clear()
         self._follows[key] = apart
         return apart
 
@@ -90,8 +134,7 @@ class Vocabulary:
         known = 0 if last is None else len(last) - 1
         last = [-1] if last is None else last
         last.extend([-1] * (len(text) - known))
-        longest = max(map(len, self.rank)) if known else 0
-        begin = max(0, known - longest)
+        begin = max(0, known - self.longest)
         for end, (size, number) in self.ends.iter(text[begin:].decode("latin-1")):
             at = begin + end + 1
             if at <= known or last[at] >= 0:
@@ -129,34 +172,78 @@ class Vocabulary:
             out.extend(known.get(piece) or self.piece(piece))
         return out
 
-    def append(self, old: str, old_ids: list[int], more: str) -> list[int]:
-        """encode(old + more), where old_ids is encode(old): only the end of old is read again."""
-        return self.edit(old, old_ids, old + more)
-
-    def edit(self, old: str, old_ids: list[int], new: str) -> list[int]:
-        """encode(new), where old_ids is encode(old): tokens before and after the changed region are taken over."""
-        same, most = 0, min(len(old), len(new))
-        while same < most and old[same] == new[same]:
-            same += 1
-        starts, sizes = [], []
-        for m in self.split.finditer(old):
-            starts.append(m.start())
-            sizes.append(len(self.piece(m.group())))
-        keep = max(0, sum(1 for s in starts if s < same) - LOOKS_BACK)
-        at = starts[keep] if keep < len(starts) else 0
-        keep = keep if at or not keep else 0
-        out = list(old_ids[: sum(sizes[:keep])])
-        shift = len(new) - len(old)
-        tail = len(old)
-        while tail > same and tail + shift > same and old[tail - 1] == new[tail + shift - 1]:
-            tail -= 1
-        border = {s: i for i, s in enumerate(starts) if s >= tail + 1}
-        for m in self.split.finditer(new, at):
-            again = border.get(m.start() - shift) if m.start() > same else None
-            if again is not None:
-                return out + list(old_ids[sum(sizes[:again]) :])
-            out.extend(self.piece(m.group()))
-        return out
+    def table(self, text: str | None) -> tuple[list[int], PrefixTable]:
+        """(the ids of a text, its table)."""
+        return self._join([], PrefixTable(0, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)), 0, text or "", 0, None)
+
+    def append(self, tail: str, ids: list[int], table: PrefixTable, more: str) -> tuple[list[int], PrefixTable]:
+        """(ids, table) of a text with more behind it, given its ids and table. tail: at least its last LOOKS_BACK pieces; the rest of
+        the text is not needed."""
+        keep = max(0, len(table.starts) - LOOKS_BACK)
+        at = int(table.starts[keep]) if keep else 0
+        return self._join(ids, table, keep, tail[len(tail) - (table.size - at) :] + more, at, None)
+
+    def edit(self, old: str, ids: list[int], table: PrefixTable, new: str) -> tuple[list[int], PrefixTable]:
+        """(ids, table) of new, given those of old: pieces before and after the changed characters are taken over."""
+        same = _same_begin(old, new)
+        keep = max(0, int(np.searchsorted(table.starts, same)) - LOOKS_BACK)
+        at = int(table.starts[keep]) if keep else 0
+        tail = _same_end(old, new, min(len(old), len(new)) - same)
+        return self._join(ids, table, keep, new[at:], at, (len(old) - tail, len(new) - len(old)))
+
+    def _join(self, ids: list[int], table: PrefixTable, keep: int, text: str, at: int, rest: tuple[int, int] | None) -> tuple[list[int], PrefixTable]:
+        """The first `keep` pieces of a table, then those of text, which begins at character `at`; rest = (end of the change in the old
+        text, by how many characters what follows has moved): from a piece on that begins as an old one did behind the change, the old ones."""
+        before = int(table.counts[keep]) if keep < len(table.counts) else len(ids)
+        out, starts, counts = ids[:before], [], []
+        long = {k: v for k, v in table.long.items() if k < keep}
+        again = len(table.starts)
+        for m in self.split.finditer(text):
+            start = at + m.start()
+            if rest is not None and start - rest[1] > rest[0]:
+                found = int(np.searchsorted(table.starts, start - rest[1]))
+                if found < len(table.starts) and table.starts[found] == start - rest[1]:
+                    again = found
+                    break
+            number = keep + len(starts)
+            starts.append(start)
+            counts.append(len(out))
+            piece = m.group()
+            if len(piece) < LONG_PIECE // 4 or len(raw := piece.encode("utf-8", "replace")) < LONG_PIECE:
+                out.extend(self.piece(piece))
+                continue
+            # a long piece that goes on, or has a change in it, continues the old table up to there
+            old = table.long.get(number) if number < len(table.starts) and table.starts[number] == start else None
+            known = None if old is None else old[: self._common(old, raw, start, rest)]
+            long[number] = self.extend(raw, known or None)
+            out.extend(self.read_back(long[number]))
+        shift = 0 if rest is None else rest[1]
+        moved = keep + len(starts) - again
+        if again < len(table.starts):
+            counts_again = table.counts[again:] + (len(out) - int(table.counts[again]))
+            out = out + ids[int(table.counts[again]) :]
+        else:
+            counts_again = table.counts[:0]
+        long.update({k + moved: v for k, v in table.long.items() if k >= again})
+        made = PrefixTable(
+            at + len(text),
+            np.concatenate([table.starts[:keep], np.array(starts, dtype=np.int64), table.starts[again:] + shift]),
+            np.concatenate([table.counts[:keep], np.array(counts, dtype=np.int64), counts_again]),
+            long,
+        )
+        return out, made
+
+    def _common(self, last: list[int], raw: bytes, start: int, rest: tuple[int, int] | None) -> int:
+        """How many entries of a piece's old table hold for its new bytes: those of the prefix that both have."""
+        held = b"".join(self.token[t] for t in self.read_back(last))
+        low, high = 0, min(len(held), len(raw))
+        while low < high:
+            middle = (low + high + 1) // 2
+            if held[low:middle] == raw[low:middle]:
+                low = middle
+            else:
+                high = middle - 1
+        return low + 1
 
 
 _LOADED: dict[str, Vocabulary] = {}
@@ -187,23 +274,67 @@ def encode_corpus(docs: DataFrame, rank_file: bytes, id_col: str = "doc_id", tex
     return spread(docs.select(id_col, text_col)).select(id_col, ids(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
 
 
+TABLE = "size bigint, starts array<bigint>, counts array<bigint>, long array<struct<piece:bigint,last:array<int>>>"
+
+
+def _stored(t: PrefixTable) -> dict:
+    return {"size": t.size, "starts": t.starts, "counts": t.counts, "long": [{"piece": k, "last": v} for k, v in sorted(t.long.items())]}
+
+
+def _restored(row: dict) -> PrefixTable:
+    return PrefixTable(int(row["size"]), np.array(row["starts"], dtype=np.int64), np.array(row["counts"], dtype=np.int64), {int(x["piece"]): list(x["last"]) for x in row["long"]})
+
+
+def encode_with_tables(docs: DataFrame, rank_file: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, ids, table) of every text: what reencode_corpus and append_corpus need later. Nulls count as empty texts."""
+    ranks = docs.sparkSession.sparkContext.broadcast(rank_file)
+
+    @F.pandas_udf(f"ids array<int>, table struct<{TABLE}>")
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        vocabulary = _loaded(ranks.value)
+        for texts in batches:
+            both = [vocabulary.table(t) for t in texts]
+            yield pd.DataFrame({"ids": [i for i, _ in both], "table": [_stored(t) for _, t in both]})
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return spread(docs.select(id_col, text_col)).select(id_col, text.alias(text_col), encoded(text).alias("_e")).select(id_col, text_col, "_e.ids", "_e.table")
+
+
 def reencode_corpus(encoded: DataFrame, changed: DataFrame, rank_file: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids) of changed (id, text), given encoded (id, text, ids) of earlier versions: edits and appends re-encode only near them.
+    """(id, text, ids, table) of changed(id, text), given encoded (from encode_with_tables or this) of earlier versions: only what lies
+    near a change is encoded again.
 
     Ids of changed that encoded does not hold are encoded whole; ids that only encoded holds are not returned. id_col must be
-    unique in both.
+    unique in both. Other columns are ignored.
     """
-    ranks = changed.sparkSession.sparkContext.broadcast(rank_file)
-    old = encoded.select(id_col, F.col(text_col).alias("_old"), F.col("ids").alias("_ids"))
+    return _continued(encoded, changed, rank_file, id_col, text_col, False)
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+
+def append_corpus(encoded: DataFrame, more: DataFrame, rank_file: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same for more(id, text), texts that come behind those of encoded: only the last pieces of the old text are read."""
+    return _continued(encoded, more, rank_file, id_col, text_col, True)
+
+
+def _continued(encoded: DataFrame, news: DataFrame, rank_file: bytes, id_col: str, text_col: str, append: bool) -> DataFrame:
+    ranks = news.sparkSession.sparkContext.broadcast(rank_file)
+    old = encoded.select(id_col, F.col(text_col).alias("_old"), F.col("ids").alias("_ids"), F.col("table").alias("_table"))
+
+    def one(vocabulary: Vocabulary, new: str, old: str | None, ids, table) -> tuple[str, list[int], PrefixTable]:  # noqa: ANN001
+        if old is None:
+            return new, *vocabulary.table(new)
+        if append:
+            return old + new, *vocabulary.append(old, list(ids), _restored(table), new)
+        return new, *vocabulary.edit(old, list(ids), _restored(table), new)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = _loaded(ranks.value)
-        for news, olds, known in batches:
-            yield pd.Series([vocabulary.edit(o, list(k), n) if o else vocabulary.encode(n) for n, o, k in zip(news, olds, known)])
+        for b in batches:
+            got = [one(vocabulary, *row) for row in zip(b["_new"], b["_old"], b["_ids"], b["_table"])]
+            yield pd.DataFrame({id_col: b[id_col], text_col: [t for t, _, _ in got], "ids": [i for _, i, _ in got], "table": [_stored(t) for _, _, t in got]})
 
-    both = changed.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_new")).join(old, id_col, "left")
-    return both.select(id_col, ids("_new", F.coalesce("_old", F.lit("")), F.coalesce("_ids", F.array().cast("array<int>"))).alias("ids"))
+    both = news.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_new")).join(old, id_col, "left")
+    key = both.schema[id_col].dataType.simpleString()
+    return both.mapInPandas(work, f"`{id_col}` {key}, `{text_col}` string, ids array<int>, table struct<{TABLE}>")
 
 
 def read_rank_file(path: str | None = None) -> bytes:

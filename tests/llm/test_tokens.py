@@ -42,9 +42,52 @@ def test_random_texts_appends_and_edits(both):
         a = r.randint(0, len(old))
         new = old[:a] + "".join(r.choice(bits) for _ in range(r.randrange(4))) + old[a + r.randrange(5) :]
         more = "".join(r.choice(bits) for _ in range(5))
-        known = e.encode_ordinary(old)
-        assert v.edit(old, known, new) == e.encode_ordinary(new)
-        assert v.append(old, known, more) == e.encode_ordinary(old + more)
+        known, table = v.table(old)
+        assert known == e.encode_ordinary(old)
+        ids, edited = v.edit(old, known, table, new)
+        assert ids == e.encode_ordinary(new) and same(edited, v.table(new)[1])
+        ids, longer = v.append(new, ids, edited, more)  # on the table that the edit left
+        assert ids == e.encode_ordinary(new + more) and same(longer, v.table(new + more)[1])
+
+
+def same(a, b):
+    return a.size == b.size and a.starts.tolist() == b.starts.tolist() and a.counts.tolist() == b.counts.tolist() and a.long == b.long
+
+
+def test_long_pieces_and_their_tables(both):
+    v, e = both
+    r = random.Random(4)
+    for _ in range(60):
+        old = "".join(r.choice(["unbroken", "zzq", "日本", "a", " b "]) for _ in range(r.randrange(20, 120)))
+        a = r.randrange(len(old))
+        new = old[:a] + r.choice(["", "x", " ", "xyzzy" * 20]) + old[a + r.randrange(9) :]
+        ids, table = v.edit(old, *v.table(old), new)
+        assert ids == e.encode_ordinary(new) and same(table, v.table(new)[1])
+        ids, table = v.append(new, ids, table, "unbrokenzz")
+        assert ids == e.encode_ordinary(new + "unbrokenzz") and same(table, v.table(new + "unbrokenzz")[1])
+
+
+def test_changes_of_long_texts_cost_little(both):
+    import time
+
+    v, e = both
+    text = "".join(f"Line {i}: the lantern by the harbour was lit again.\n" for i in range(12_000))
+    ids, table = v.table(text)
+
+    def took(f):
+        best = 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            out = f()
+            best = min(best, time.perf_counter() - began)
+        return best, out
+
+    whole, _ = took(lambda: v.encode(text))
+    appended, (got, _) = took(lambda: v.append(text, ids, table, " and so on"))
+    assert got == e.encode_ordinary(text + " and so on") and appended < whole / 3
+    new = text[:300_000] + "changed" + text[300_004:]
+    edited, (got, _) = took(lambda: v.edit(text, ids, table, new))
+    assert got == e.encode_ordinary(new) and edited < whole / 3
 
 
 def test_prefix_tables_continue(both):
@@ -64,10 +107,13 @@ def test_corpus(spark, both):
 
 def test_changed_corpus(spark, both):
     _, e = both
-    old = [(1, "one two three"), (2, None), (3, "gone"), (4, "日本語のテキスト")]
-    new = [(1, "one two, three"), (2, "now"), (4, None), (5, "new text")]
+    old = [(1, "one two three"), (2, None), (3, "gone"), (4, "日本語のテキスト"), (6, "unbroken" * 40)]
+    new = [(1, "one two, three"), (2, "now"), (4, None), (5, "new text"), (6, "unbroken" * 20 + "x" + "unbroken" * 20)]
     raw = tokens.read_rank_file()
-    docs = spark.createDataFrame(old, "doc_id bigint, text string")
-    encoded = docs.join(tokens.encode_corpus(docs, raw), "doc_id")
-    got = tokens.reencode_corpus(encoded, spark.createDataFrame(new, "doc_id bigint, text string"), raw).collect()
-    assert {r.doc_id: r.ids for r in got} == {i: e.encode_ordinary(t or "") for i, t in new}
+    schema = "doc_id bigint, text string"
+    first = tokens.encode_with_tables(spark.createDataFrame(old, schema), raw).cache()
+    assert {r.doc_id: r.ids for r in first.collect()} == {i: e.encode_ordinary(t or "") for i, t in old}
+    second = tokens.reencode_corpus(first, spark.createDataFrame(new, schema), raw).cache()
+    assert {r.doc_id: (r.text, r.ids) for r in second.collect()} == {i: (t or "", e.encode_ordinary(t or "")) for i, t in new}
+    third = tokens.append_corpus(second, spark.createDataFrame([(1, "'s end"), (6, "unbroken"), (7, "x"), (2, None)], schema), raw).collect()
+    assert {r.doc_id: r.ids for r in third} == {i: e.encode_ordinary(t) for i, t in ((1, "one two, three's end"), (6, new[4][1] + "unbroken"), (7, "x"), (2, "now"))}
