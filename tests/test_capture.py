@@ -97,3 +97,34 @@ def test_late_rows_are_captured_and_old_versions_lose(spark, tmp_path):
     c.run(log_of(spark, [(1, 5, "a", day(10)), (2, 6, "b", day(10)), (3, 7, "a", day(3)), (4, 8, "b", day(20)), (5, 9, "c", day(1))]))
     assert state(c) == [("a", h(5), 1), ("b", h(8), 4), ("c", h(9), 5)]
     assert c.sink().agg(F.count("*")).first()[0] == 3
+
+
+def test_many_runs_keep_few_parts(spark, tmp_path, monkeypatch):
+    from pixloom.operators import capture as module
+
+    monkeypatch.setattr(module, "FAN", 3)
+    c, rows = capture(spark, str(tmp_path / "a")), []
+    for k in range(11):
+        rows += rows_of(15, k, 15 * k)
+        c.run(log_of(spark, rows))
+    whole = capture(spark, str(tmp_path / "b"))
+    whole.run(log_of(spark, rows))
+    assert state(c) == state(whole)
+    assert sorted(level for _, level in c._parts(10)) == [0, 0, 2]
+    assert len(list((tmp_path / "a" / "sink").iterdir())) <= 3 + 3  # those in use, and those that the last state used
+    assert {r.scan_ord for r in c.changes().collect()} <= set(range(150, 165)) and c.run(log_of(spark, rows)).count() == c.sink().count()
+    assert c._batches("done")[-1] == 10  # nothing new: no batch
+
+
+def test_old_rows_are_not_read(spark, tmp_path):
+    for n in range(3):
+        log_of(spark, rows_of(200, n, 200 * n)).write.parquet(f"{tmp_path}/log/{n}")
+    read = lambda k: spark.read.parquet(*[f"{tmp_path}/log/{n}" for n in range(k)])
+    c = capture(spark, str(tmp_path / "state"))
+    c.run(read(2))
+    batch = c.plan(read(3))
+    fresh = c.rows(read(3), batch)
+    text = fresh._jdf.queryExecution().toString()
+    least = min(low for low, _ in c._ends(batch).values())
+    assert least > 300 and f"GreaterThan(scan_ord,{least})" in text.replace(" ", "")
+    assert {r.offset for r in fresh.collect()} == {o for o, _, p, _ in rows_of(200, 2, 400)}
