@@ -57,9 +57,9 @@ def errors_check(errors: DataFrame) -> DataFrame:
 
 
 def sample_dated(files: DataFrame, probed: DataFrame, seed: int = 0, size: int = SAMPLE) -> DataFrame:
-    """(rel_path, dated) of a sample of dated media files, drawn by a seeded hash of the path; probed(rel_path, text)."""
+    """(rel_path, dated) of a sample of dated media files, drawn by a seeded hash (MD5) of the path; probed(rel_path, text)."""
     eligible = files.where(T.is_media(P.base_name(F.col("rel_path"))) & ~F.array_contains(F.split("rel_path", "/"), "unknown")).select("rel_path").distinct()
-    drawn = eligible.orderBy(F.xxhash64("rel_path", F.lit(seed)), "rel_path").limit(size)
+    drawn = eligible.orderBy(F.md5(F.concat("rel_path", F.lit(f"#{seed}"))), "rel_path").limit(size)
     return drawn.join(probed.where("text is not null and text <> ''").select("rel_path").distinct().withColumn("_d", F.lit(True)), "rel_path", "left").select("rel_path", F.col("_d").isNotNull().alias("dated"))
 
 

@@ -74,7 +74,7 @@ def albums_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def albums_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sorted first places of each album's contents."""
+    """The albums of each content, with its first place."""
     rows = _copies(spark, sf_dir).where("sha256 is not null").select(F.lower("sha256").alias("sha256"), "place", "scan_ord")
     per = rows.groupBy("sha256").agg(winners.albums_of(F.col("place")).alias("albums"), F.min_by("place", "scan_ord").alias("place"))
     return winners.album_manifest(per)
@@ -106,7 +106,7 @@ def content_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return winners.dedup_summary(content_winners(spark, sf_dir)).select("files", "unique", "redundant")
+    return winners.dedup_summary(content_winners(spark, sf_dir))
 
 
 def sidecar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,11 +157,10 @@ def motion_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placement_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The folder of each copy by bucket, kind and the month of its tags."""
-    rows = _copies(spark, sf_dir).select("scan_ord", "name", P.path_bucket(F.col("place")).alias("bucket"), record_id().alias("id"))
-    days = table(spark, sf_dir, "exif").groupBy(F.col("source_file").alias("id")).agg(F.min_by("datetimeoriginal", "rec_id").alias("t"))
-    days = days.select("id", D.embedded_date(F.col("t"), max_year=MAX_YEAR).alias("d"))
-    return rows.join(days, "id", "left").select("scan_ord", placement.dest_folder(F.col("bucket"), F.col("name"), F.col("d.year"), F.col("d.month")).alias("folder"))
+    """The folder of each copy by bucket, kind of its corrected name, and month of its sidecar or tags."""
+    rows = _copies(spark, sf_dir).select("scan_ord", P.path_bucket(F.col("place")).alias("bucket"), T.corrected_name(F.col("name"), T.sniff_type(F.col("head"))).alias("name"))
+    days = date_waterfall(spark, sf_dir).select("scan_ord", "year", "month")
+    return rows.join(days, "scan_ord").select("scan_ord", placement.dest_folder(F.col("bucket"), F.col("name"), F.col("year"), F.col("month")).alias("folder"))
 
 
 def collision_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,12 +282,12 @@ def warning_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refolder_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many files would move out of `unknown`, by year."""
-    return exif_dates(spark, sf_dir).groupBy("year").agg(F.count("*").alias("n"))
+    """How many copies without a date in their sidecar, which lie in `unknown` until their tags are read, have one there, by year."""
+    return date_waterfall(spark, sf_dir).where("outcome = 'embedded'").groupBy("year").agg(F.count("*").alias("n"))
 
 
 def sample_50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A seeded sample of dated files, and whether their tags have a date (sampling operator; no SQL)."""
+    """A seeded sample of dated files, and whether their tags have a date (a sampling operator)."""
     _, _, files = _library(spark, sf_dir)
     read = table(spark, sf_dir, "exif").select(F.regexp_replace("source_file", f"^{ROOT}/", "").alias("rel_path"), D.embedded_text(F.col("datetimeoriginal"), F.col("createdate")).alias("text"))
     return verify.sample_dated(files, read)

@@ -139,7 +139,7 @@ SQL = {
         SELECT sha256, CASE WHEN bool_or(bucket IS NULL) THEN NULL WHEN bool_or(bucket = 'archive') THEN 'archive' ELSE 'trash' END AS bucket FROM b GROUP BY sha256""",
     "albums_rollup": f"WITH {_ALBUM_ROWS.strip()} SELECT sha256, list_sort(list(DISTINCT album)) AS albums FROM a WHERE album IS NOT NULL GROUP BY sha256",
     "albums_manifest": f"""WITH {_ALBUM_ROWS.strip()}, fst AS (SELECT sha256, arg_min(place, scan_ord) AS place FROM c GROUP BY sha256), ha AS (SELECT DISTINCT sha256, album FROM a WHERE album IS NOT NULL)
-        SELECT album, list_sort(list(fst.place)) AS paths FROM ha JOIN fst ON ha.sha256 = fst.sha256 GROUP BY album""",
+        SELECT album, fst.place FROM ha JOIN fst ON ha.sha256 = fst.sha256""",
     "sidecar_local_match": f"WITH {_MATCH.strip()} SELECT folder, name, sidecar FROM won",
     "sidecar_orphans": f"WITH {_MATCH.strip()} SELECT folder, json, inn AS \"inner\" FROM inn WHERE inn <> '' AND NOT EXISTS (SELECT 1 FROM won WHERE won.folder = inn.folder AND won.sidecar = inn.json)",
     "sidecar_global_match": f"WITH {_GLOBAL.strip()} SELECT name, inn AS \"inner\" FROM g",
@@ -152,7 +152,6 @@ SQL = {
         z AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY CASE WHEN own IS NOT NULL THEN 0 WHEN NOT any_own AND found IS NOT NULL THEN 1 ELSE 2 END, scan_ord) AS k FROM y),
         per AS (SELECT sha256, CASE WHEN bool_or(bucket IS NULL) THEN NULL WHEN bool_or(bucket = 'archive') THEN 'archive' ELSE 'trash' END AS bucket, coalesce(list_sort(list(DISTINCT album) FILTER (WHERE album IS NOT NULL)), []) AS albums, count(*) AS n_copies FROM c GROUP BY sha256)
         SELECT z.sha256, scan_ord, name, place, CASE WHEN any_own THEN own ELSE found END AS sidecar, NOT any_own AND found IS NOT NULL AS recovered, per.bucket, albums, n_copies FROM z JOIN per ON z.sha256 = per.sha256 WHERE k = 1""",
-    "dedup_summary": "SELECT count(*) AS files, count(DISTINCT lower(sha256)) AS \"unique\", count(*) - count(DISTINCT lower(sha256)) AS redundant FROM copies WHERE sha256 IS NOT NULL",
     "sidecar_names": f"""WITH {_MATCH.strip()} SELECT DISTINCT json, inn AS "inner", inn || CASE WHEN contains(json, '.supplemental-metadata') THEN '.supplemental-metadata.json' ELSE '.json' END AS dest FROM inn""",
     "sidecar_dates": f"WITH {_DOCS.strip()} SELECT sidecar_id, year, month FROM sd",
     "exif_dates": f"WITH t0 AS (SELECT rec_id, {_EXIF_TEXT} AS t FROM exif) SELECT rec_id, year, month FROM {_exif('t0')}",
@@ -168,10 +167,6 @@ SQL = {
         d AS (SELECT source_file AS id, max(duration) AS duration FROM exif GROUP BY 1)
         SELECT scan_ord, name, CASE WHEN NOT has THEN 'archive' END AS disposition FROM c JOIN d ON c.id = d.id
         WHERE ext IN {_VIDEO} AND duration <= 4.0 AND st IN (SELECT st FROM c WHERE ext NOT IN {_VIDEO})""",
-    "placement_paths": f"""WITH t0 AS (SELECT source_file AS id, datetimeoriginal AS t FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY rec_id) AS k FROM exif) WHERE k = 1), ex AS {_exif('t0')},
-        c AS (SELECT scan_ord, coalesce(path, zip || '::' || entry) AS id, {_PLACE} AS place, {_canon(_SUFFIX.format(n='name'))} AS ext FROM copies), b AS (SELECT *, {_BUCKET.format(p='place')} AS bucket FROM c)
-        SELECT scan_ord, CASE bucket WHEN 'archive' THEN 'Archive' WHEN 'trash' THEN 'Trash' ELSE 'final' END || '/' || CASE WHEN ext IN {_VIDEO} THEN 'videos' ELSE 'photos' END || '/' ||
-          CASE WHEN ex.year IS NULL THEN 'unknown' ELSE ex.year || '/' || lpad(CAST(ex.month AS VARCHAR), 2, '0') END AS folder FROM b LEFT JOIN ex ON b.id = ex.id""",
     "resume_pending": f"SELECT DISTINCT lower(sha256) AS sha256 FROM copies WHERE sha256 IS NOT NULL AND lower(sha256) NOT IN (SELECT {_HEX.format(h='hash')} FROM extracted WHERE hash IS NOT NULL AND {_HEX.format(h='hash')} IS NOT NULL)",
     "outcome_counters": f"SELECT outcome, count(*) AS n, count(DISTINCT {_HEX.format(h='hash')}) AS n_contents FROM extracted GROUP BY outcome",
     "set_operations": f"""WITH x AS (SELECT {_HEX.format(h='hash')} AS h, outcome FROM extracted WHERE hash IS NOT NULL), d AS (SELECT DISTINCT h FROM x WHERE outcome = 'placed' AND h IS NOT NULL),
@@ -220,5 +215,21 @@ SQL = {
           WHEN contains(lower(line), 'not yet supported') THEN 'unsupported file type (left as-is)' WHEN contains(lower(line), 'ifd') OR contains(lower(line), 'stripoffsets') THEN 'corrupt EXIF structure'
           WHEN starts_with(line, 'Error') THEN 'other errors' ELSE 'other warnings' END AS category FROM l)
         SELECT category, count(*) AS n FROM c WHERE category IS NOT NULL GROUP BY category""",
-    "refolder_by_year": f"WITH t0 AS (SELECT rec_id, {_EXIF_TEXT} AS t FROM exif) SELECT year, count(*) AS n FROM {_exif('t0')} GROUP BY year",
+}
+
+_MEDIA_EXT = "('jpg', 'jpeg', 'png', 'gif', 'heic', 'heif', 'avif', 'bmp', 'tiff', 'tif', 'webp', 'cr2', 'nef', 'arw', 'dng', 'orf', 'rw2', 'mp4', 'mov', 'avi', 'mkv', 'm4v', '3gp', 'wmv')"
+
+# made of the others
+SQL |= {
+    "dedup_summary": f"""SELECT CAST(coalesce(sum(n_copies), 0) AS BIGINT) AS files, count(*) AS "unique", CAST(coalesce(sum(n_copies - 1), 0) AS BIGINT) AS redundant, count(sidecar) AS with_sidecar,
+        count(*) FILTER (WHERE recovered) AS recovered, count(*) FILTER (WHERE sidecar IS NULL) AS without_sidecar FROM ({SQL['content_winners']})""",
+    "placement_paths": f"""WITH b AS (SELECT scan_ord, {_BUCKET.format(p='place')} AS bucket FROM (SELECT scan_ord, {_PLACE} AS place FROM copies)), w AS ({SQL['date_waterfall']}),
+        m AS (SELECT scan_ord, {_canon(_SUFFIX.format(n='corrected'))} AS ext FROM ({SQL['media_types']}))
+        SELECT scan_ord, CASE bucket WHEN 'archive' THEN 'Archive' WHEN 'trash' THEN 'Trash' ELSE 'final' END || '/' || CASE WHEN ext IN {_VIDEO} THEN 'videos' ELSE 'photos' END || '/' ||
+          CASE WHEN year IS NULL THEN 'unknown' ELSE year || '/' || lpad(CAST(month AS VARCHAR), 2, '0') END AS folder FROM b JOIN w USING (scan_ord) JOIN m USING (scan_ord)""",
+    "refolder_by_year": f"SELECT year, count(*) AS n FROM ({SQL['date_waterfall']}) WHERE outcome = 'embedded' GROUP BY year",
+    "sample_50": f"""WITH f AS (SELECT DISTINCT regexp_replace(path, '^/srv/import/', '') AS rel_path FROM copies WHERE src = 'dir'),
+        e AS (SELECT rel_path FROM f WHERE lower(regexp_extract({_SUFFIX.format(n="regexp_extract(rel_path, '([^/]*)$', 1)")}, '^\\.(.*)$', 1)) IN {_MEDIA_EXT} AND NOT list_contains(string_split(rel_path, '/'), 'unknown')),
+        d AS (SELECT DISTINCT regexp_replace(source_file, '^/srv/import/', '') AS rel_path FROM exif WHERE coalesce(nullif(datetimeoriginal, ''), nullif(createdate, '')) IS NOT NULL)
+        SELECT rel_path, rel_path IN (SELECT rel_path FROM d WHERE rel_path IS NOT NULL) AS dated FROM (SELECT rel_path FROM e ORDER BY md5(rel_path || '#0'), rel_path LIMIT 50)""",
 }

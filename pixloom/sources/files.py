@@ -5,110 +5,169 @@ from __future__ import annotations
 import hashlib
 import os
 import zipfile
+from collections import deque
 from collections.abc import Iterator
+from typing import BinaryIO
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 from pixloom.functions import filetypes as T
 from pixloom.functions import paths as P
 from pixloom.operators.matching import match_in_folder, orphan_sidecars
-from pixloom.session import materialise
+from pixloom.session import materialise, spread
 
 CHUNK = 1 << 16
+ENTRIES_PER_TASK = 2_000
+BYTES_PER_TASK = 512 << 20
+FOLDERS_PER_TASK, ROWS_AT_ONCE = 1_000, 50_000
+FOUND = "zip string, entry string, path string, name string, length bigint, sha256 string, head binary, raw string, error string"
 
 
-def _glob(extensions: list[str]) -> str:
-    """A glob for extensions in any letter case; unlike a filter on the path it keeps other files from being read."""
-    one = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
-    return "*.{" + ",".join(one(e) for e in extensions) + "}"
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length) of all files below root, of any size and name (Spark's own listing leaves out names that begin with _ or .);
+    no content is read. Folders that cannot be listed give no rows; links to folders are not followed.
 
+    Tasks walk folders breadth first. Each goes on for FOLDERS_PER_TASK folders and hands the rest to the next round, so a small tree
+    is one task and a large one is shared by all; root must be a folder that all executors share.
+    """
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length) of all files below root; no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "length")
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for top in batch["path"]:
+                waiting, seen, rows = deque([top]), 0, []
+                while waiting:
+                    folder = waiting.popleft()
+                    seen += 1
+                    if seen > FOLDERS_PER_TASK:
+                        rows.append((folder, 0, True))
+                        continue
+                    try:
+                        with os.scandir(folder) as entries:
+                            for e in entries:
+                                if e.is_dir(follow_symlinks=False):
+                                    waiting.append(e.path)
+                                elif e.is_file():
+                                    rows.append((e.path, e.stat().st_size, False))
+                                if len(rows) >= ROWS_AT_ONCE:
+                                    yield pd.DataFrame(rows, columns=["path", "length", "folder"])
+                                    rows = []
+                    except OSError:
+                        pass
+                yield pd.DataFrame(rows, columns=["path", "length", "folder"]).astype({"path": "object", "length": "int64", "folder": "bool"})
 
+    folders, found = spark.createDataFrame([(os.path.abspath(root),)], "path string"), None
+    while True:
+        level = materialise(spread(folders).mapInPandas(walk, "path string, length bigint, folder boolean"), "listing")
+        files = level.where("not folder").select("path", "length")
+        found = files if found is None else found.unionByName(files)
+        folders = level.where("folder").select("path")
+        if folders.isEmpty():
+            return found
 
-def loose_media(spark: SparkSession, root: str) -> DataFrame:
-    """(path, name, sha256, head, length) of media files below root: hashed and cut to their first bytes where they are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _glob(T.PHOTO + T.VIDEO)).load(root)
-    path = F.regexp_replace("path", "^file:/*", "/")
-    return files.select(path.alias("path"), P.base_name(path).alias("name"), F.sha2("content", 256).alias("sha256"), F.substring("content", 1, T.HEAD_BYTES).alias("head"), "length")
 
+def _shared(files: DataFrame) -> DataFrame:
+    """files(path, length) over tasks of like amounts of bytes and files."""
+    n, size = files.agg(F.count("*"), F.sum("length")).first()
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-n // ENTRIES_PER_TASK), (size or 0) // BYTES_PER_TASK)
+    return files.repartition(min(tasks, 100_000), "path")
 
-def sidecar_texts(spark: SparkSession, root: str) -> DataFrame:
-    """(path, raw) of .json files below root (letter case of the extension as it is)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(root)
-    return files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.decode("content", "UTF-8").alias("raw"))
 
+def _is_media(name: str) -> bool:
+    low = name.lower()
+    return any(low.endswith("." + e) for e in T.PHOTO + T.VIDEO)
 
-class ZipEntries(DataSource):
-    """Entries of zip archives: option `paths` (one per line); a broken archive gives one row with an error."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "zip_entries"
+def _read_through(f: BinaryIO, keep: bool) -> tuple[str, bytes, str | None]:
+    """(hash, first bytes, the text if it is to be kept) of a stream, read by chunks whatever its length."""
+    digest, head, text = hashlib.sha256(), b"", []
+    while chunk := f.read(CHUNK):
+        digest.update(chunk)
+        head = head or chunk[: T.HEAD_BYTES]
+        if keep:
+            text.append(chunk)
+    return digest.hexdigest(), head, b"".join(text).decode("utf-8", "replace") if keep else None
 
-    def schema(self) -> str:
-        return "zip string, entry string, name string, length bigint, sha256 string, head binary, raw string, error string"
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _ZipReader(self.options["paths"].split("\n"), int(self.options.get("entries_per_task", "2000")))
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")], dtype="object")
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+def _why(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
 
 
-class _ZipReader(DataSourceReader):
-    def __init__(self, paths: list[str], per_task: int):
-        self.paths, self.per_task = paths, per_task
+def loose_files(spark: SparkSession, root: str) -> DataFrame:
+    """FOUND of media files and sidecars (.json, letter case as it is) below root, read once each; raw of sidecars only.
 
-    def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for path in filter(None, self.paths):
-            try:
-                with zipfile.ZipFile(path) as z:
-                    n = len(z.infolist())
-            except Exception:  # noqa: BLE001 - reported by the task
-                n = 1
-            out += [_Range(path, i, i + self.per_task) for i in range(0, max(1, n), self.per_task)]
-        return out
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        path = partition.path
+    A file that cannot be read gives a row with an error. Files are opened by path, so root must be a folder that all executors share.
+    """
+    wanted = _shared(listing(spark, root).where(T.is_media(P.base_name(F.col("path"))) | F.endswith("path", F.lit(".json"))))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, length in zip(batch["path"], batch["length"]):
+                name = path.rsplit("/", 1)[-1]
+                try:
+                    with open(path, "rb") as f:
+                        rows.append((None, None, path, name, length, *_read_through(f, not _is_media(name)), None))
+                except Exception as e:  # noqa: BLE001 - reported as a row
+                    rows.append((None, None, path, name, length, None, None, None, _why(e)))
+            yield _frame(rows)
+
+    return wanted.mapInPandas(read, FOUND)
+
+
+def zip_entries(archives: DataFrame, entries_per_task: int = ENTRIES_PER_TASK, bytes_per_task: int = BYTES_PER_TASK) -> DataFrame:
+    """FOUND of the media files and sidecars in archives(path), of any size and number; raw of sidecars only.
+
+    Archives are opened by the tasks: first for their lists of entries, which are cut into ranges of like work, then each range is
+    one task's share, so a large archive is many tasks. Broken archives and entries give rows with an error.
+    """
+    schema = "path string, first int, last int, error string"
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                try:
+                    with zipfile.ZipFile(path) as z:
+                        first = size = at = 0
+                        for at, info in enumerate(z.infolist(), 1):
+                            size += info.file_size
+                            if at - first >= entries_per_task or size >= bytes_per_task:
+                                rows.append((path, first, at, None))
+                                first, size = at, 0
+                        if at > first:
+                            rows.append((path, first, at, None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((path, 0, 0, _why(e)))
+            yield pd.DataFrame(rows, columns=["path", "first", "last", "error"]).astype({"first": "int32", "last": "int32"})
+
+    ranges = materialise(archives.select("path").mapInPandas(cut, schema), "ranges")
+    shared = ranges.repartition(max(1, min(ranges.count(), 20_000)), "path", "first")
+
+    def entry(z: zipfile.ZipFile, path: str, info: zipfile.ZipInfo) -> tuple:
+        name = info.filename.rsplit("/", 1)[-1]
         try:
-            with zipfile.ZipFile(path) as z:
-                for info in z.infolist()[partition.first : partition.last]:
-                    name = info.filename.rsplit("/", 1)[-1]
-                    low = name.lower()
-                    media = any(low.endswith("." + e) for e in T.PHOTO + T.VIDEO)
-                    if info.is_dir() or not (media or name.endswith(".json")):
-                        continue
-                    try:
-                        digest, head, text = hashlib.sha256(), b"", []
-                        with z.open(info) as f:
-                            while chunk := f.read(CHUNK):
-                                digest.update(chunk)
-                                head = head or chunk[: T.HEAD_BYTES]
-                                if not media:
-                                    text.append(chunk)
-                        raw = None if media else b"".join(text).decode("utf-8", "replace")
-                        yield path, info.filename, name, info.file_size, digest.hexdigest(), head, raw, None
-                    except Exception as e:  # noqa: BLE001
-                        yield path, info.filename, name, info.file_size, None, None, None, f"{type(e).__name__}: {e}"
+            with z.open(info) as f:
+                return (path, info.filename, None, name, info.file_size, *_read_through(f, not _is_media(name)), None)
         except Exception as e:  # noqa: BLE001
-            yield path, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
-
+            return (path, info.filename, None, name, info.file_size, None, None, None, _why(e))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, first, last, error in batch.itertuples(index=False):
+                if error:
+                    yield _frame([(path, None, None, None, None, None, None, None, error)])
+                    continue
+                with zipfile.ZipFile(path) as z:
+                    wanted = [i for i in z.infolist()[first:last] if not i.is_dir() and (_is_media(i.filename) or i.filename.endswith(".json"))]
+                    yield _frame([entry(z, path, i) for i in wanted])
 
-def zip_entries(spark: SparkSession, paths: list[str], entries_per_task: int = 2000) -> DataFrame:
-    """Entries of the archives, read in ranges of entries so that a large archive is many tasks."""
-    spark.dataSource.register(ZipEntries)
-    return spark.read.format("zip_entries").option("paths", "\n".join(paths)).option("entries_per_task", str(entries_per_task)).load()
+    return shared.mapInPandas(read, FOUND)
 
 
 def number_rows(df: DataFrame, order: list, to: str = "scan_ord") -> DataFrame:  # noqa: ANN001 - columns
@@ -127,25 +186,28 @@ def number_rows(df: DataFrame, order: list, to: str = "scan_ord") -> DataFrame:
 def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(copies, orphans, docs, errors) of a tree of folders and archives, in the columns of the domain tables.
 
-    scan_ord numbers the copies by kind (folders before archives), container and name, so it does not depend on the file system.
+    Every file and every archive's entry is read once: what was found is written before it is used. scan_ord numbers the copies by
+    kind (folders before archives), container and name, so it does not depend on the file system; it is this scan's own (see
+    sources.inventory for numbers that last). Trees without archives, or without loose files, are trees.
     """
     root = os.path.abspath(root)
-    zips = [r.path for r in listing(spark, root).where(F.lower("path").endswith(".zip")).select("path").toLocalIterator()]
-    entries = zip_entries(spark, zips)
-    none = F.lit(None).cast("string")
-    loose = loose_media(spark, root).select(F.lit("dir").alias("src"), "path", none.alias("zip"), none.alias("entry"), "name", "sha256", "head", P.folder_of(F.col("path")).alias("folder"))
-    inside = entries.where("sha256 is not null and raw is null").select(F.lit("zip").alias("src"), none.alias("path"), "zip", "entry", "name", "sha256", "head", F.concat_ws("::", "zip", P.folder_of(F.col("entry"))).alias("folder"))
-    texts = sidecar_texts(spark, root).select(F.struct(F.lit("dir").alias("kind"), "path", none.alias("zip"), none.alias("entry")).alias("ref"), "raw", P.folder_of(F.col("path")).alias("folder"), P.base_name(F.col("path")).alias("json"))
-    packed = entries.where("raw is not null").select(F.struct(F.lit("zip").alias("kind"), none.alias("path"), "zip", "entry").alias("ref"), "raw", F.concat_ws("::", "zip", P.folder_of(F.col("entry"))).alias("folder"), F.col("name").alias("json"))
-    media, docs = loose.unionByName(inside), texts.unionByName(packed)
+    archives = listing(spark, root).where(F.endswith(F.lower("path"), F.lit(".zip"))).select("path")
+    found = materialise(loose_files(spark, root).unionByName(zip_entries(archives)), "found")
+    at = F.struct(F.when(F.col("zip").isNull(), "dir").otherwise("zip").alias("kind"), "path", "zip", "entry")
+    inside = F.coalesce("path", "entry")
+    rows = found.where("error is null").select("*", at.alias("ref"), F.concat_ws("::", "zip", P.folder_of(inside)).alias("folder"))
+    media = rows.where("raw is null").select(F.col("ref.kind").alias("src"), "path", "zip", "entry", "name", "sha256", "head", "folder")
+    docs = rows.where("raw is not null").select("ref", "raw", "folder", F.col("name").alias("json"))
     matched = match_in_folder(media, docs).select("folder", "name", F.col("sidecar").alias("json"))
     refs = docs.select("folder", "json", "ref")
     with_ref = media.join(matched, ["folder", "name"], "left").join(refs, ["folder", "json"], "left")
-    inside_path = P.place()
-    numbered = number_rows(with_ref, [F.when(F.col("src") == "dir", 0).otherwise(1), F.col("folder"), F.col("name")])
-    copies = numbered.select(
-        "scan_ord", "sha256", "src", "path", "zip", "entry", "name", "head", T.sniff_type(F.col("head")).alias("true_ext"), P.path_bucket(inside_path).alias("bucket"), F.col("ref").alias("sidecar")
+    now = F.current_timestamp().alias("scanned_at")
+    copies = number_rows(with_ref, [F.when(F.col("src") == "dir", 0).otherwise(1), F.col("folder"), F.col("name")]).select(
+        "scan_ord", "sha256", "src", "path", "zip", "entry", "name", "head", T.sniff_type(F.col("head")).alias("true_ext"), P.path_bucket(P.place()).alias("bucket"), F.col("ref").alias("sidecar"), now
     )
     left = orphan_sidecars(media, docs).join(refs, ["folder", "json"]).select(F.col("inner").alias("inner_name"), "ref")
-    errors = entries.where("error is not null").select(F.lit("read_error").alias("category"), F.concat_ws("::", "zip", "entry").alias("ident"), F.col("error").alias("detail"))
-    return copies, left, docs.select("ref", "raw"), errors
+    order = [F.col("ref.kind"), F.coalesce("ref.path", "ref.zip"), F.col("ref.entry")]
+    orphans = number_rows(left, order).select("scan_ord", "inner_name", "ref")
+    numbered = number_rows(docs.select("ref", "raw"), order, "sidecar_id").select("sidecar_id", "ref", "raw")
+    errors = found.where("error is not null").select(F.lit("read_error").alias("category"), F.coalesce("path", F.concat_ws("::", "zip", "entry")).alias("ident"), F.col("error").alias("detail"))
+    return copies, orphans, numbered, errors

@@ -1,8 +1,13 @@
-"""Embedded capture dates and durations: a small reader of EXIF in JPEG and of movie headers, in Arrow batches."""
+"""Embedded capture dates and durations: a small reader of EXIF and of movie headers, in Arrow batches.
+
+Files are mapped, not read: only the bytes of headers and tags are touched, whatever the length of a file. EXIF is found in JPEG, in
+TIFF and the raw types built on it (CR2, NEF, ARW, DNG, ORF, RW2), in PNG, WebP, HEIC and AVIF.
+"""
 
 from __future__ import annotations
 
 import mmap
+import os
 import shutil
 import struct
 import tempfile
@@ -12,17 +17,22 @@ from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from pixloom.functions.filetypes import AVIF_BRANDS, HEIC_BRANDS
 from pixloom.session import spread
 
 # TIFF tags, and the distance of the movie epoch (1904) from 1970 in seconds.
 TAG_EXIF, TAG_ORIGINAL, TAG_DIGITIZED = 0x8769, 0x9003, 0x9004
 MOVIE_EPOCH = 2_082_844_800
+# How TIFF begins, and the raw types built on it.
+TIFF_HEADS = (b"II*\0", b"MM\0*", b"IIRO", b"IIRS", b"IIU\0")
 PROBED = "path string, original string, created string, duration double"
 
 
-def _ifd(data: bytes, at: int, order: str, wanted: dict[int, str], out: dict[str, str]) -> int:
-    """Reads one directory; returns the place of the EXIF directory, 0 if it names none."""
+def _ifd(data: bytes, start: int, at: int, order: str, wanted: dict[int, str], out: dict[str, str]) -> int:
+    """Reads the directory at `at` of the TIFF data at start; returns the place of the EXIF directory, 0 if it names none."""
+    at += start
     (n,) = struct.unpack_from(order + "H", data, at)
     below = 0
     for i in range(n):
@@ -31,31 +41,68 @@ def _ifd(data: bytes, at: int, order: str, wanted: dict[int, str], out: dict[str
         if tag == TAG_EXIF:
             below = value
         elif tag in wanted and kind == 2:
-            raw = data[value : value + count] if count > 4 else data[at + 10 + 12 * i : at + 10 + 12 * i + count]
+            raw = data[start + value : start + value + count] if count > 4 else data[at + 10 + 12 * i : at + 10 + 12 * i + count]
             out[wanted[tag]] = raw.split(b"\0")[0].decode("latin-1")
     return below
 
 
 def read_jpeg(data: bytes) -> dict[str, str]:
     """DateTimeOriginal and CreateDate of a JPEG, as written."""
-    out: dict[str, str] = {}
     at = 2
     while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] not in (0xD9, 0xDA):
         (size,) = struct.unpack_from(">H", data, at + 2)
         body = data[at + 4 : at + 2 + size]
         if data[at + 1] == 0xE1 and body[:6] == b"Exif\0\0":
-            tiff = body[6:]
-            order = "<" if tiff[:2] == b"II" else ">"
-            (first,) = struct.unpack_from(order + "I", tiff, 4)
-            names = {TAG_ORIGINAL: "original", TAG_DIGITIZED: "created"}
-            below = _ifd(tiff, first, order, names, out)
-            if below:
-                _ifd(tiff, below, order, names, out)
-            break
+            return read_tiff(body[6:])
         at += 2 + size
+    return {}
+
+
+def read_tiff(data: bytes, start: int = 0) -> dict[str, str]:
+    """The same of TIFF data that begin at start."""
+    out: dict[str, str] = {}
+    order = {b"II": "<", b"MM": ">"}.get(bytes(data[start : start + 2]))
+    if order is None:
+        return out
+    (first,) = struct.unpack_from(order + "I", data, start + 4)
+    names = {TAG_ORIGINAL: "original", TAG_DIGITIZED: "created"}
+    below = _ifd(data, start, first, order, names, out)
+    if below:
+        _ifd(data, start, below, order, names, out)
     return out
 
 
+def read_png(data: bytes) -> dict[str, str]:
+    at = 8
+    while at + 8 <= len(data):
+        size, kind = struct.unpack_from(">I4s", data, at)
+        if kind == b"eXIf":
+            return read_tiff(data[at + 8 : at + 8 + size])
+        at += 12 + size
+    return {}
+
+
+def read_webp(data: bytes) -> dict[str, str]:
+    at = 12
+    while at + 8 <= len(data):
+        kind, size = struct.unpack_from("<4sI", data, at)
+        if kind == b"EXIF":
+            body = data[at + 8 : at + 8 + size]
+            return read_tiff(body[6:] if body[:6] == b"Exif\0\0" else body)
+        at += 8 + size + size % 2
+    return {}
+
+
+def read_heif(data: bytes) -> dict[str, str]:
+    """The first EXIF item of a HEIC or AVIF file."""
+    at = data.find(b"Exif\0\0")
+    while at >= 0:
+        if bytes(data[at + 6 : at + 8]) in (b"II", b"MM"):
+            return read_tiff(data, at + 6)
+        at = data.find(b"Exif\0\0", at + 6)
+    return {}
+
+
 def _boxes(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
     while at + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, at)
@@ -89,10 +136,17 @@ def read_movie(data: bytes) -> dict[str, object]:
 def read_tags(data: bytes | None) -> dict[str, object]:
     """original, created and duration of one file's bytes, as far as they can be read."""
     try:
-        if data and data[:2] == b"\xff\xd8":
+        head = bytes(data[:16]) if data else b""
+        if head[:2] == b"\xff\xd8":
             return dict(read_jpeg(data))
-        if data and data[4:8] == b"ftyp":
-            return read_movie(data)
+        if head[:4] in TIFF_HEADS:
+            return dict(read_tiff(data))
+        if head[:8] == b"\x89PNG\r\n\x1a\n":
+            return dict(read_png(data))
+        if head[:4] == b"RIFF" and head[8:12] == b"WEBP":
+            return dict(read_webp(data))
+        if head[4:8] == b"ftyp":
+            return dict(read_heif(data)) if head[8:12].decode("latin-1") in HEIC_BRANDS + AVIF_BRANDS else read_movie(data)
     except (struct.error, IndexError, OverflowError, ValueError, OSError):
         pass
     return {}
@@ -142,14 +196,32 @@ def _rows(batch: pd.DataFrame, tags: list[dict[str, object]]) -> pd.DataFrame:
     return pd.DataFrame({"path": batch["path"], "original": [t.get("original") for t in tags], "created": [t.get("created") for t in tags], "duration": pd.Series([t.get("duration") for t in tags], dtype="float64", index=batch.index)})
 
 
-def probe(files: DataFrame) -> DataFrame:
-    """files(path, content) -> (path, original, created, duration): one row per file, nulls for what cannot be read.
+def _read_file(path: str) -> dict[str, object]:
+    with open(path, "rb") as f:
+        if not os.fstat(f.fileno()).st_size:
+            return {}
+        with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            return read_tags(data)
 
-    Filter the files first: only those that lack a sidecar date need their content read.
-    """
+
+def probe_files(places: DataFrame) -> DataFrame:
+    """places(path) of loose files, in a folder that all executors share -> (path, original, created, duration): one row per file,
+    nulls for what cannot be read."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield _rows(batch, [read_tags(c) for c in batch["content"]])
+            tags = []
+            for path in batch["path"]:
+                try:
+                    tags.append(_read_file(path))
+                except Exception:  # noqa: BLE001 - as a file that says nothing
+                    tags.append({})
+            yield _rows(batch, tags)
+
+    return spread(places.select("path")).mapInPandas(read, PROBED)
+
 
-    return files.select("path", "content").mapInPandas(read, PROBED)
+def probe(places: DataFrame) -> DataFrame:
+    """places(path) of loose files and of `archive::entry`, by the record's id -> what probe_files gives."""
+    packed = F.col("path").rlike(r"(?i)\.zip::")
+    return probe_files(places.where(~packed)).unionByName(probe_entries(places.where(packed)))

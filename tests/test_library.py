@@ -170,7 +170,7 @@ def test_tree_end_to_end(spark, tmp_path):
         "BOGUS.jpg": ("placed", "final/photos/unknown"),
         "SPLIT.jpg": ("placed", "final/photos/2019/01"),
         "EMB.jpg": ("placed", "final/photos/2019/05"),
-        "NOTHING.jpg": ("errored", "errors"),
+        "NOTHING.jpg": ("errored", "errors/AlbumA"),
         "LIVE.jpg": ("placed", "final/photos/2018/03"),
         "LIVE.mp4": ("motion", "motion"),
         "CLIP.mp4": ("placed", "final/videos/2020/09"),
@@ -181,11 +181,17 @@ def test_tree_end_to_end(spark, tmp_path):
     assert done["verdict"].first().safe
     assert (out / "final/photos/2019/01/SPLIT.jpg").read_bytes() == jpeg("split")
     assert {r.album for r in done["albums"].collect()} == {"AlbumA", "AlbumB"}
-    assert [r.ident for r in done["errors"].collect()] == [str(src / "broken.zip")]
+    assert {(r.category, r.ident) for r in done["errors"].collect()} == {("read_error", str(src / "broken.zip")), ("missing_sidecar", str(album / "NOTHING.jpg"))}
+    assert (out / "errors/AlbumA/NOTHING.jpg").read_bytes() == jpeg("nothing")
+    # sidecars beside their media, under the file's name there
+    assert (out / "final/photos/2017/01/PIC1.jpg.supplemental-metadata.json").read_text() == sidecar(1483228800)
+    assert sorted(p.relative_to(out).as_posix() for p in out.glob("final/**/*.json")) == [
+        "final/photos/2017/01/PIC1.jpg.supplemental-metadata.json", "final/photos/2019/01/SPLIT.jpg.json", "final/photos/2024/06/PIC2.jpg.json", "final/photos/unknown/BOGUS.jpg.json",
+    ]
     assert before == {p: p.stat().st_mtime_ns for p in src.rglob("*")}
     again = run(spark, str(src), str(out))  # running twice changes nothing
     assert {r.outcome for r in again["effects"].collect()} == {"present"} and {r.outcome for r in again["album_effects"].collect()} == {"present"}
-    assert sum(len(f) for d, _, f in os.walk(out) if "Albums" not in d) == 11
+    assert sum(n.rsplit(".")[-1] in ("jpg", "mp4", "heic") for d, _, f in os.walk(out) if "Albums" not in d for n in f) == 11
     assert sorted(p.relative_to(out).as_posix() for p in out.glob("Albums/*/*")) == [f"Albums/AlbumA/{n}" for n in ("BOGUS.jpg", "CLIP.mp4", "EMB.jpg", "LIVE.jpg", "PIC1.jpg", "PIC2.jpg", "SPLIT.jpg")] + ["Albums/AlbumB/PIC1.jpg"]
 
 
@@ -211,8 +217,10 @@ def test_zip_ranges(spark, tmp_path):
         for i in range(25):
             z.writestr(f"d/{i}.jpg", jpeg(str(i)))
     (tmp_path / "a.zip").write_bytes(buf.getvalue())
-    df = zip_entries(spark, [str(tmp_path / "a.zip")], entries_per_task=10)
-    assert df.rdd.getNumPartitions() == 3 and df.select("sha256").distinct().count() == 25
+    (tmp_path / "broken.zip").write_bytes(b"no archive")
+    df = zip_entries(spark.createDataFrame([(str(tmp_path / n),) for n in ("a.zip", "broken.zip")], "path string"), entries_per_task=10)
+    assert df.rdd.getNumPartitions() == 4 and df.where("error is null").select("sha256").distinct().count() == 25 and df.where("error is not null").count() == 1
+    assert zip_entries(df.select(F.col("zip").alias("path")).limit(0)).count() == 0
 
 
 def test_stream(spark, tmp_path):
