@@ -120,3 +120,57 @@ def test_missing_zones_of_sidecars_are_estimated_too(spark):
     got = {r.rec_id: (r.epoch_us, r.zone_source) for r in times.where("origin = 'sidecar_docs'").collect()}
     assert got == {0: (us(2020, 3, 3, 8, 20, 30), "estimated"), 1: (us(2020, 4, 3, 8, 20, 30), "estimated"), 2: (None, None)}
     assert named_instants(times).where("origin = 'sidecar_docs'").count() == 0
+
+
+def berlin_year(stated_every=3, name="/srv/in/lib1/IMG_{}.jpg"):
+    """Readings of a camera that is set to Berlin through both changes of the clock; every third states its offset."""
+    rows, want = [], {}
+    for i in range(243):
+        at = datetime(2020, 1, 3, 5, 20, 30, tzinfo=UTC).timestamp() + i * 1.5 * 86_400
+        local = datetime.fromtimestamp(at, ZoneInfo("Europe/Berlin"))
+        rows.append((i, name.format(i), local.strftime("%Y:%m:%d %H:%M:%S"), None, local.strftime("%z") if i % stated_every == 0 else None, None, None, None, "x"))
+        want[i] = int(at) * 1_000_000
+    return rows, want
+
+
+def test_zones_change_with_daylight_saving(spark):
+    rows, want = berlin_year()
+    times = normalise_times(spark.createDataFrame([], DOCS), spark.createDataFrame(rows, EXIF)).collect()
+    assert {r.rec_id: r.epoch_us for r in times} == want and {r.evidence for r in times} >= {None, "camera"}
+
+
+def test_cameras_of_a_library_are_not_mixed(spark):
+    rows, want = berlin_year()
+    more, tokyo = [], {}
+    for i in range(243):  # another camera of the library, in Tokyo
+        at = datetime(2020, 1, 3, 15, 0, 0, tzinfo=UTC).timestamp() + i * 1.5 * 86_400
+        more.append((1000 + i, f"/srv/in/lib1/DSC{i}.jpg", datetime.fromtimestamp(at, ZoneInfo("Asia/Tokyo")).strftime("%Y:%m:%d %H:%M:%S"), None, None, None, "Asia/Tokyo" if i % 3 == 0 else None, None, "x"))
+        tokyo[1000 + i] = int(at) * 1_000_000
+    times = {r.rec_id: r.epoch_us for r in normalise_times(spark.createDataFrame([], DOCS), spark.createDataFrame(rows + more, EXIF)).collect()}
+    assert times == want | tokyo
+
+
+def test_nearest_evidence_comes_first(spark):
+    rows, _ = berlin_year()
+    rows += [
+        (900, "/srv/in/lib1/IMG_trip1.jpg", "2020:06:10 20:00:00", None, None, None, "America/Bogota", None, "x"),
+        (901, "/srv/in/lib1/IMG_trip2.jpg", "2020:06:10 21:30:00", None, None, None, None, None, "x"),  # an hour and a half later
+        (902, "/srv/in/lib1/IMG_trip3.jpg", "2020:06:11 06:00:00", None, None, None, None, None, "x"),  # its document tells
+    ]
+    docs = [(5, ("dir", "/srv/in/lib1/IMG_trip3.jpg.json", None, None), '{"photoTakenTime": {"timestamp": "%d"}}' % datetime(2020, 6, 10, 21, 0, 1, tzinfo=UTC).timestamp(), "x")]
+    got = {r.rec_id: (r.epoch_us, r.evidence) for r in normalise_times(spark.createDataFrame(docs, DOCS), spark.createDataFrame(rows, EXIF)).where("origin = 'exif'").collect()}
+    assert got[901] == (us(2020, 6, 11, 2, 30), "neighbour") and got[902] == (us(2020, 6, 10, 21, 0), "document")
+
+
+def test_offsets_of_zones():
+    import numpy as np
+
+    from pixloom.operators.timestamps import _zone_offsets
+
+    for zone in ("Europe/Berlin", "America/St_Johns", "Australia/Lord_Howe", "Asia/Kolkata", "America/Sao_Paulo"):
+        hours = np.arange(315_000, 430_000, 7)
+        for h in hours[::97].tolist() + [h for h in range(438_000, 447_000)][::5]:
+            wall = datetime.fromtimestamp(h * 3600, UTC).replace(tzinfo=None)
+            off = wall.replace(tzinfo=ZoneInfo(zone)).utcoffset().total_seconds() / 60
+            gap = wall.replace(tzinfo=ZoneInfo(zone)).astimezone(UTC).astimezone(ZoneInfo(zone)).replace(tzinfo=None) != wall
+            assert gap or _zone_offsets(zone, np.array([h]))[0] == off, (zone, wall)
