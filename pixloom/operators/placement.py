@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ def number_names(plan: DataFrame, order: list[str], folder: str = "folder", name
     A generated name may meet a real one (a_1.jpg), which then moves on itself. Only names that come from one another by adding
     _number, through names that are all there, can meet: they form a family. Families of one row keep their name, families with
     one distinct name are numbered by a window (which spills, however often the name occurs), and only families in which a
-    numbered name also occurs as a real one are settled one after another in Python.
+    numbered name also occurs as a real one are settled one after another in Python, in sorted batches.
     """
     stem, ext = P.stem(F.col(name)), P.suffix(F.col(name))
     real = plan.select(folder, name).distinct()
@@ -46,20 +48,26 @@ def number_names(plan: DataFrame, order: list[str], folder: str = "folder", name
     shared = rows.where("_n > 1 and not _one").drop("_n", "_one")
     columns = alone.columns
 
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        taken, following, out = set(), {}, []
-        for own in group.sort_values(order, kind="stable")[name]:
-            at = own.rfind(".")
-            s, e = (own[:at], own[at:]) if 0 < at < len(own) - 1 else (own, "")
-            picked, k = own, following.get(own, 1)
-            while picked in taken:
-                picked, k = f"{s}_{k}{e}", k + 1
-            following[own] = k
-            taken.add(picked)
-            out.append(picked)
-        return group.sort_values(order, kind="stable").assign(final_name=out)[columns]
-
-    return alone.unionByName(repeated.drop("_family", "_n", "_one", "_k")).unionByName(shared.groupBy(folder, "_family").applyInPandas(settle, alone.schema))
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by family and order; of the family at hand only its names are kept, not its rows."""
+        family, taken, following = None, set(), {}
+        for batch in batches:
+            out = []
+            for at, group, own in zip(batch[folder], batch["_family"], batch[name]):
+                if (at, group) != family:
+                    family, taken, following = (at, group), set(), {}
+                dot = own.rfind(".")
+                s, e = (own[:dot], own[dot:]) if 0 < dot < len(own) - 1 else (own, "")
+                picked, k = own, following.get(own, 1)
+                while picked in taken:
+                    picked, k = f"{s}_{k}{e}", k + 1
+                following[own] = k
+                taken.add(picked)
+                out.append(picked)
+            yield batch.assign(final_name=out)[columns]
+
+    ordered = shared.repartition(folder, "_family").sortWithinPartitions(folder, "_family", *order)
+    return alone.unionByName(repeated.drop("_family", "_n", "_one", "_k")).unionByName(ordered.mapInPandas(settle, alone.schema))
 
 
 def _numbered(names: DataFrame) -> DataFrame:

@@ -37,23 +37,42 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_RUN_DIRS: dict[str, str] = {}
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables below the shared one, which goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _RUN_DIRS:
+        path = f"{shared_dir(spark)}/pixloom-{app}-{uuid.uuid4().hex[:8]}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _RUN_DIRS[app] = path
+    return _RUN_DIRS[app]
+
+
 def work_dir(spark: SparkSession, what: str) -> str:
-    """A new, unused folder name below the shared one."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new, unused folder name below that of this application."""
+    return f"{run_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
+    """Write df to the shared folder and read it back: lineage is cut, and a lost executor loses nothing. The table is there until the
+    application ends, since the frame may be read until then."""
     path = work_dir(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores, for work that is bound by CPU. A table that has enough already,
-    as any large one has, is not moved."""
+    """df over as many partitions as there are cores, for work that is bound by CPU, if it is small by the optimizer's estimate. A
+    larger table has more partitions than that already, and is not moved. Nothing is run to find out."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    part = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if size < cores * part else df
 
 
 def remove_dir(spark: SparkSession, path: str) -> None:

@@ -90,6 +90,19 @@ def test_chain_and_color_gate(spark):
     assert {x.id for x in neardup.similar_groups(prints(spark, [(0, 9, blue), (1, 9, blue), (2, 9, green)]), 1, 100).collect()} == {0, 1}
 
 
+def test_flat_pictures_meet_by_color(spark):
+    r = random.Random(12)
+    rows = [(i, 0, [r.randrange(256)] * 48) for i in range(300)] + [(500, 1 << 7, [3] * 48), (501, 1 << 7, [4] * 48), (502, 0, None), (503, 0, None)]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] and b[2] and sum(abs(x - y) for x, y in zip(a[2], b[2])) <= 100} | {(502, 503)}
+    got = {(x.left_id, x.right_id) for x in neardup.similar_pairs(prints(spark, rows), 2, 100).collect()}
+    first = {}
+    for i, h, c in rows:
+        first.setdefault((h, tuple(c or ())), i)
+    reps = {(first[a[1], tuple(a[2] or ())], first[b[1], tuple(b[2] or ())]) for a in rows for b in rows if (min(a[0], b[0]), max(a[0], b[0])) in want}
+    assert got <= want and {(min(p), max(p)) for p in reps if p[0] != p[1]} <= got
+    assert neardup.similar_groups(prints(spark, rows), 2, None).select("group_id").distinct().count() == 1
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(700)] + [(5, 5), (None, 3), (900, 901), (901, 900)], "a int, b int")
     got = {r.node: r.component for r in components(links, "a", "b").collect()}
