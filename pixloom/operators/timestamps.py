@@ -58,6 +58,7 @@ SAVING_ZONES = {
 }
 RARITY_PRICE = 0.5
 LEAST_SEEN = 10
+SEEN, LEAST, ASKED = 0, 1, 2  # kinds of votes
 
 
 def _json_object(raw: Column) -> Column:
@@ -172,28 +173,32 @@ def _zone_steps(zone: str) -> tuple[np.ndarray, np.ndarray]:
     return hours[kept], found[kept]
 
 
-def _zone_offsets(zone: str, hours: np.ndarray) -> np.ndarray:
-    begin, off = _zone_steps(zone)
+def _zone_offsets(steps: tuple[np.ndarray, np.ndarray], hours: np.ndarray) -> np.ndarray:
+    begin, off = steps
     return off[np.maximum(np.searchsorted(begin, hours, side="right") - 1, 0)]
 
 
-def _best_history(hour: np.ndarray, kind: np.ndarray, off: np.ndarray, zone: np.ndarray, n: np.ndarray, zones: list[str]) -> list[tuple[int, int, str | None, int | None]]:
-    """(bucket, observations of the months around it that have the same zone, zone, offset) of the history over the months that violates the fewest observations. What comes in is bounded by
-    hours, offsets and zones, not by rows."""
-    seen, least = kind == "seen", kind == "least"
+def _best_history(hour: np.ndarray, kind: np.ndarray, off: np.ndarray, zone: np.ndarray, n: np.ndarray, zones: list[str], steps: dict[str, tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, str | None, int | None]]:
+    """(bucket, observations of the months around it that have the same zone, zone, offset), for the months that are asked for, of the
+    history that violates the fewest observations. What comes in is bounded by hours, offsets and zones, not by rows."""
+    seen, least = kind == SEEN, kind == LEAST
     if not seen.any():
         return []
-    buckets, at = np.unique(hour * HOUR_US // BUCKET_US, return_inverse=True)
+    month = hour * HOUR_US // BUCKET_US
+    asked = np.unique(month[kind == ASKED])
+    told = seen | least
+    hour, kind, off, zone, n, month, seen, least = (x[told] for x in (hour, kind, off, zone, n, month, seen, least))
+    buckets, at = np.unique(month, return_inverse=True)
     offs, which = np.unique(off[seen], return_inverse=True)
     there = set(offs.tolist())
     zones = [*zones, *(z for pair, names in SAVING_ZONES.items() if there.issuperset(pair) for z in names if z not in zones)]
-    names, of_name = np.unique(zone[seen & (zone != "")], return_inverse=True)
-    counted = dict(zip(names.tolist(), np.bincount(of_name, n[seen & (zone != "")]).tolist()))
-    share = np.array([counted.get(z, 0) / max(1, sum(counted.values())) for z in zones] + [0.0] * len(offs))
+    named = zone >= 0
+    counted = np.bincount(zone[named], n[named], len(zones) + len(offs))
+    share = counted / max(1, counted.sum())
     cost = np.zeros((len(buckets), len(zones) + len(offs)))
     # a reading lies after its own ingestion under any offset smaller than `least`
     for z, name in enumerate(zones):
-        own = _zone_offsets(name, hour)
+        own = _zone_offsets(steps[name], hour)
         cost[:, z] = np.bincount(at, n * (seen & (own != off) | least & (own < off)), len(buckets))
     held = np.zeros((len(buckets), len(offs)))
     np.add.at(held, (at[seen], which), n[seen])
@@ -210,10 +215,11 @@ def _best_history(hour: np.ndarray, kind: np.ndarray, off: np.ndarray, zone: np.
     path = [int(total.argmin())]
     for i in range(len(buckets) - 1, 0, -1):
         path.append(int(back[i][path[-1]]))
-    path = path[::-1]
+    path = np.array(path[::-1])
     run = np.cumsum(np.concatenate([[False], np.diff(path) != 0]))
     counts = np.bincount(run, held.sum(axis=1))[run]
-    return [(int(b), int(c), zones[z] if z < len(zones) else None, None if z < len(zones) else int(offs[z - len(zones)])) for b, c, z in zip(buckets, counts, path)]
+    near = np.maximum(np.searchsorted(buckets, asked, side="right") - 1, 0)  # a month without observations is as the one before
+    return [(int(b), int(c), zones[z] if z < len(zones) else None, None if z < len(zones) else int(offs[z - len(zones)])) for b, c, z in zip(asked, counts[near], path[near])]
 
 
 def zone_histories(votes: DataFrame, zones: list[str]) -> DataFrame:
@@ -221,17 +227,18 @@ def zone_histories(votes: DataFrame, zones: list[str]) -> DataFrame:
     of the least-violating history of votes(library, source, hour, kind, off, zone, n), and how many observations the run of months with
     that zone has; and those of each library, with source null."""
     columns = ["library", "source", "bucket", "seen", "est_zone", "est_off"]
+    # some hundred steps a zone, found once and not by every task
+    steps = {z: _zone_steps(z) for z in {*zones, *(z for names in SAVING_ZONES.values() for z in names)}}
 
-    def histories(mine: pd.DataFrame) -> pd.DataFrame:
-        arrays = [mine[c].to_numpy() for c in ("hour", "kind", "off")] + [mine["zone"].fillna("").to_numpy(dtype=str), mine["n"].to_numpy()]
-        library, source = mine["library"].iloc[0], mine["source"].to_numpy()
-        rows = [(library, None, *r) for r in _best_history(*arrays, zones)]
-        order = np.argsort(source, kind="stable")
-        for part in np.split(order, np.flatnonzero(source[order][1:] != source[order][:-1]) + 1):
-            rows += [(library, source[part[0]], *r) for r in _best_history(*[a[part] for a in arrays], zones)]
-        return pd.DataFrame(rows, columns=columns, dtype="object")
+    def history(key: tuple, mine: pd.DataFrame) -> pd.DataFrame:
+        arrays = [mine[c].to_numpy() for c in ("hour", "kind", "off", "zone", "n")]
+        return pd.DataFrame([(*key, *r) for r in _best_history(*arrays, zones, steps)], columns=columns, dtype="object")
 
-    return votes.groupBy("library").applyInPandas(histories, "library string, source string, bucket bigint, seen bigint, est_zone string, est_off int")
+    # a group is a source or a library, counted by hour, so its size is bounded by hours, offsets and zones
+    counted = votes.withColumn("source", F.explode(F.array("source", F.lit(None)))).groupBy("library", "source", "hour", "kind", "off", "zone").agg(F.sum("n").alias("n"))
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n"))).over(Window.partitionBy("library", "source"))
+    used = counted.withColumn("_seen", of(SEEN)).withColumn("_asked", of(ASKED)).where("_asked > 0 and (source is null or _seen >= %d)" % LEAST_SEEN).drop("_seen", "_asked")
+    return used.groupBy("library", "source").applyInPandas(history, "library string, source string, bucket bigint, seen bigint, est_zone string, est_off int")
 
 
 def _whole_quarters(gap: Column) -> Column:
@@ -254,16 +261,17 @@ def _with_anchors(asked: DataFrame, stated: DataFrame) -> DataFrame:
     return joined.withColumn("aligned", _whole_quarters(F.col("local_us") - taken)).drop("_key", "_doc", "_tag")
 
 
-def _votes(rows: DataFrame) -> DataFrame:
-    """(source, hour, kind, off, zone, n): observations `seen`, bounds `least`, and the readings `asked` for, counted before anything
-    is gathered."""
+def _votes(rows: DataFrame, zones: list[str]) -> DataFrame:
+    """(source, library, hour, kind, off, zone, n): observations SEEN, bounds LEAST, and the readings ASKED for, counted before anything
+    is gathered. zone is the place in zones of the zone that an observation names, or -1."""
+    number = F.when(F.col("epoch_us").isNotNull() & F.col("zone").isNotNull(), F.array_position(F.array(*[F.lit(z) for z in zones]), F.col("zone")).cast("int") - 1).otherwise(-1) if zones else F.lit(-1)
     seen = F.coalesce(F.col("local_us") - F.col("epoch_us"), F.col("aligned"))
     least = F.ceil((F.col("local_us") - F.col("uploaded")) / STEP_US).cast("bigint") * STEP_US
     least = F.when(seen.isNull() & (F.col("origin") == "exif") & least.between(-12 * 4 * STEP_US, 14 * 4 * STEP_US), least)
     kinds = F.array(
-        F.struct(F.lit("seen").alias("kind"), seen.alias("us"), F.when(F.col("epoch_us").isNotNull(), F.col("zone")).alias("zone")),
-        F.struct(F.lit("least").alias("kind"), least.alias("us"), F.lit(None).cast("string").alias("zone")),
-        F.struct(F.lit("asked").alias("kind"), F.when(seen.isNull(), F.lit(0)).cast("bigint").alias("us"), F.lit(None).cast("string").alias("zone")),
+        F.struct(F.lit(SEEN).alias("kind"), seen.alias("us"), number.alias("zone")),
+        F.struct(F.lit(LEAST).alias("kind"), least.alias("us"), F.lit(-1).alias("zone")),
+        F.struct(F.lit(ASKED).alias("kind"), F.when(seen.isNull(), F.lit(0)).cast("bigint").alias("us"), F.lit(-1).alias("zone")),
     )
     return (
         rows.select("source", "library", F.floor(F.col("local_us") / HOUR_US).alias("hour"), F.inline(kinds))
@@ -314,12 +322,12 @@ def normalise_times(sidecar_docs: DataFrame, exif: DataFrame, source: Column | N
     local = told.unionByName(_with_anchors(rows.where(missing), stated)).drop("place")
     local = materialise(_with_neighbours(local), "readings")
     zones = sorted(r.zone for r in local.where("zone is not null and epoch_us is not null").select("zone").distinct().collect())  # names of the public zone list
-    history = zone_histories(_votes(local), zones)
+    history = zone_histories(_votes(local, zones), zones)
     history = materialise(history, "histories")
     of_camera = history.where(F.col("source").isNotNull() & (F.col("seen") >= LEAST_SEEN)).select("source", F.col("bucket").alias("_bucket"), F.col("est_zone").alias("cz"), F.col("est_off").alias("co"))
     of_library = history.where("source is null").select("library", F.col("bucket").alias("_bucket"), F.col("est_zone").alias("lz"), F.col("est_off").alias("lo"))
     asked = local.where(missing).withColumn("_bucket", F.floor(F.col("local_us") / BUCKET_US))
-    asked = asked.join(of_camera, ["source", "_bucket"], "left").join(of_library, ["library", "_bucket"], "left")
+    asked = asked.join(of_camera.hint("merge"), ["source", "_bucket"], "left").join(of_library.hint("merge"), ["library", "_bucket"], "left")
     by_zone = lambda off, zone: I.to_utc_us(F.col("local_us"), F.col(off), F.col(zone))
     evidence = (
         F.when(F.col("aligned").isNotNull(), "document")

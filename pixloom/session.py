@@ -67,9 +67,13 @@ def materialise(df: DataFrame, what: str = "table") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over as many partitions as there are cores, for work that is bound by CPU, if it is small by the optimizer's estimate. A
-    larger table has more partitions than that already, and is not moved. Nothing is run to find out."""
+    """df over at least as many partitions as there are cores, for work that is bound by CPU. A table that has enough already, as any
+    large one has, is not moved. Nothing is run to find out: the partitions of a scan are known, and behind a shuffle the optimizer's
+    estimate of the size decides."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" not in plan and "Adaptive" not in plan:
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     part = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     return df.repartition(cores) if size < cores * part else df
