@@ -63,7 +63,8 @@ SEEN, LEAST, ASKED = 0, 1, 2  # kinds of votes
 
 def _json_object(raw: Column) -> Column:
     """The parsed document if it is a JSON object, else null."""
-    return F.try_parse_json(F.when(raw.rlike(r"^\s*\{[\s\S]*\}\s*$"), raw))
+    bare = F.btrim(raw, F.lit(" \t\n\x0b\f\r"))  # a pattern over whole documents would cost ten times what parsing them does
+    return F.try_parse_json(F.when(F.startswith(bare, F.lit("{")) & F.endswith(bare, F.lit("}")), raw))
 
 
 def sidecar_values(docs: DataFrame) -> DataFrame:
@@ -72,26 +73,24 @@ def sidecar_values(docs: DataFrame) -> DataFrame:
     raw is the value itself or its `timestamp`, spare its `formatted`. place is the path the document belongs to, without its own
     ending, for aligning with image tags. Documents that are null, cut off or no objects give no row.
     """
-    got = lambda path: F.try_variant_get(F.col("_doc"), path, "string")
     at = F.when(F.col("ref.kind") == "zip", F.concat_ws("::", "ref.zip", "ref.entry")).otherwise(F.col("ref.path"))
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("field"),
-                F.coalesce(got(f"$.{f}.timestamp"), F.when(~F.startswith(got(f"$.{f}"), F.lit("{")), got(f"$.{f}"))).alias("raw"),
-                got(f"$.{f}.formatted").alias("spare"),
-            )
-            for f in SIDECAR_FIELDS
-        ]
-    )
+
+    def rows(doc: Column) -> Column:
+        got = lambda path: F.try_variant_get(doc, path, "string")
+        field = lambda f: F.struct(
+            F.lit(f).alias("field"),
+            F.coalesce(got(f"$.{f}.timestamp"), F.when(~F.startswith(got(f"$.{f}"), F.lit("{")), got(f"$.{f}"))).alias("raw"),
+            got(f"$.{f}.formatted").alias("spare"),
+            got("$.timeZone").alias("hint"),
+        )
+        return F.array(*[field(f) for f in SIDECAR_FIELDS])
+
     return (
-        docs.select("sidecar_id", "ref", _json_object(F.col("raw")).alias("_doc"))
-        .select(
+        docs.select(
             F.lit("sidecar_docs").alias("origin"),
             F.col("sidecar_id").alias("rec_id"),
-            got("$.timeZone").alias("hint"),
             F.regexp_replace(at, r"(\.[^./]+)\.[^./]*\.json$|\.json$", "$1").alias("place"),
-            F.inline(rows),
+            F.inline(_let(_json_object(F.col("raw")), rows)),  # a document is parsed once, for all its fields
         )
         .where("raw is not null or spare is not null")
         .select("origin", "rec_id", "field", "raw", "spare", F.lit(None).cast("string").alias("own"), "hint", "place")
